@@ -114,8 +114,10 @@ def judged(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """One row per document row: base metrics, base_failed, n_removed_words, depleted, kept (and __of, __from, __hashes)."""
     text = F.coalesce("text", F.lit(""))
     base = base_metrics(docs, F.xxhash64(text).alias("__key"), F.col("source").alias("__source"))
-    # identical rows are merged and dealt out again, as their lines were counted together
-    base = base.groupBy(*base.columns).agg(F.count("*").alias("__rows"))
+    # identical rows are merged and dealt out again, as their lines were counted together; as aggregates the
+    # metrics also stay below filters on them, which would else move into the scan and compute them again
+    by = ["doc_id", "__key", "__source"]
+    base = base.groupBy(*by).agg(*[F.max(c).alias(c) for c in base.columns if c not in by], F.count("*").alias("__rows"))
     gone = removed_lines(docs, limits)
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")) & F.col("__source").eqNullSafe(F.col("__from"))
     out = base.join(gone, on, "left")
