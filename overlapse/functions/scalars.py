@@ -37,7 +37,11 @@ def token_hash(token: Column) -> Column:
 def minhash(tokens: Column, size: int) -> Column:
     """Signature of a token set by `size` linear functions modulo a prime; zeros for an empty set."""
     h = F.transform(tokens, token_hash)
-    sig = F.array(*[F.array_min(F.transform(h, lambda v, i=i: (F.lit(STEP * i) * v + SHIFT * i) % PRIME)) for i in range(1, size + 1)])
+
+    def place(i: int) -> Column:
+        return F.array_min(F.transform(h, lambda v: (F.lit(STEP * i) * v + SHIFT * i) % PRIME))
+
+    sig = F.array(*[place(i) for i in range(1, size + 1)])
     return F.when(F.size(tokens) > 0, sig).otherwise(F.array_repeat(F.lit(0).cast("bigint"), size))
 
 

@@ -44,7 +44,7 @@ def disjoint_pairs(d: DataFrame, id_: str, formula: str, size: str, gap: int, se
 
     x = d.select(F.col(id_).alias("id"), F.col(formula).alias("formula"), F.col(size).alias("size"), stable_key(F.col(id_), seed).alias("key"))
     kind = x.schema["id"].dataType.simpleString()
-    return x.groupBy(F.lit(1)).applyInPandas(lambda p: greedy(p), f"a {kind}, b {kind}")
+    return x.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda p: greedy(p), f"a {kind}, b {kind}")
 
 
 def auroc(d: DataFrame, score: str, y: str) -> DataFrame:
