@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-KEPT = 400_000
+KEPT = 200_000
+PAIRS = 500_000
 _WORD = re.compile(r" *[^ \n]+| +|\n+")
 
 
@@ -56,7 +57,8 @@ class Codec:
                 self.score[piece] = sp.get_score(i)
                 self.table.append(piece.replace(MARK, " ").encode())
         self.longest = max(map(len, self.piece_id))
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.pieces = {i: p for p, i in self.piece_id.items()}
+        self.fits: dict[int, bool] = {}
         # pieces by their last character: (piece, length), only those that their own merges make
         self.ends: dict[str, set[int]] = {}
         for p in self.piece_id:
@@ -79,13 +81,14 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether b can stand after a in an encoding."""
-        r = self.fits.get((a, b))
+    def follows(self, a: int, b: int) -> bool:
+        """Whether piece b can stand after piece a in an encoding; a is -1 after a character of no piece."""
+        r = self.fits.get(a << 32 | b) if a >= 0 else True
         if r is None:
-            if len(self.fits) > 4 * KEPT:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
-            r = self.fits[a, b] = self.merged(a + b) == [a, b]
+            x, y = self.pieces[a], self.pieces[b]
+            r = self.fits[a << 32 | b] = self.merged(x + y) == [x, y]
         return r
 
     def _own(self, p: str) -> bool:
@@ -96,7 +99,7 @@ class Codec:
 
     def words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """(word, ids) for distinct words, in sorted order."""
-        last: list[str] = [""]  # the last piece of the encoding of each prefix of the word before
+        last: list[int] = [-1]  # the last piece of the encoding of each prefix of the word before
         ids: list[bytes] = [b""]  # and the ids up to there
         before = ""
         has, sizes, width, own, follows = self.piece_id, self.sizes, self.dtype.itemsize, self._own, self.follows
@@ -110,14 +113,14 @@ class Codec:
                     if n > i:
                         break
                     p = word[i - n : i]
-                    if p in has and own(p) and (n == i or follows(last[i - n], p)):
-                        last.append(p)
+                    if p in has and own(p) and (n == i or follows(last[i - n], has[p])):
+                        last.append(has[p])
                         ids.append(ids[i - n] + has[p].to_bytes(width, "little"))
                         break
                 else:
                     # a character of no piece stands alone, as its bytes
                     c = word[i - 1]
-                    last.append(c)
+                    last.append(-1)
                     ids.append(ids[i - 1] + b"".join(self.bytes_id[x].to_bytes(width, "little") for x in c.encode("utf-8", "replace")))
             before = word
             yield word, ids[-1]
@@ -152,7 +155,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
         c = codec(model)
         for b in batches:
             at = 0
-            for texts in blocks(b.column("text").to_pylist()):
+            for texts in blocks(b.column("text").to_pylist(), 1_000_000):
                 flat = c.encode(texts)
                 sizes = np.asarray([len(x) // c.dtype.itemsize for x in flat], np.int32)
                 values = np.frombuffer(b"".join(flat), c.dtype).astype(np.int32)
