@@ -87,7 +87,7 @@ def minus_decoy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(e.select("task", "relation", "dose", "seed", "did", "decoy_value", "net"))
 
 
-O_MINUS = f"WITH {E_} SELECT a.task, a.relation, a.dose, a.seed, round(a.did, 8) AS did, round(b.did, 8) AS decoy_value, round(a.did - b.did, 8) AS net FROM e a LEFT JOIN e b ON b.relation = 'decoy' AND a.task = b.task AND a.dose = b.dose AND a.seed = b.seed WHERE a.relation <> 'decoy'"
+O_MINUS = f"WITH {E_} SELECT a.task, a.relation, a.dose, a.seed, round(a.did, 8) + 0 AS did, round(b.did, 8) + 0 AS decoy_value, round(a.did - b.did, 8) + 0 AS net FROM e a LEFT JOIN e b ON b.relation = 'decoy' AND a.task = b.task AND a.dose = b.dose AND a.seed = b.seed WHERE a.relation <> 'decoy'"
 
 
 def relation_pivot(spark: SparkSession, d: str) -> DataFrame:

@@ -14,7 +14,7 @@ DOC, BENCH = "documents", "benchmark"
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name).cast("long").alias(f.name) if f.dataType.typeName() == "integer" else F.col(f.name) for f in df.schema])
+    return df.select(*[(F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name).cast("long").alias(f.name) if f.dataType.typeName() == "integer" else F.col(f.name) for f in df.schema])
 
 
 def duck_keys(x: str) -> dict[str, str]:

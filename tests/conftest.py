@@ -36,6 +36,6 @@ def rows(frame):
             return "NULL"
         if isinstance(v, bool) or type(v).__name__ == "bool":
             return str(bool(v))
-        return repr(float(v)) if isinstance(v, (int, float)) or hasattr(v, "item") else str(v)
+        return repr(float(v) + 0.0) if isinstance(v, (int, float)) or hasattr(v, "item") else str(v)
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(show(v) for v in r) for r in frame.astype(object).itertuples(index=False, name=None))
