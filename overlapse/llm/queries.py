@@ -26,9 +26,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def piece_digest(docs: DataFrame) -> DataFrame:
     """Each document encoded and decoded again: ids counted and summed up, and whether the text came back."""
-    model = vocabulary(PIECE_BPE)
-    out = sp_codec.decoded(sp_codec.encoded(docs, model), model)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", (F.col("decoded") == F.translate("text", sp_codec.MARK, " ")).alias("round_trip"))
+    return sp_codec.round_trips(docs, vocabulary(PIECE_BPE))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,3 +185,29 @@ def decoded(tokens: DataFrame, model: str) -> DataFrame:
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
     return tokens.mapInArrow(run, f"{out}, decoded string, ids_crc32 long")
+
+
+def round_trips(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, n_ids, ids_crc32 and round_trip (the decoded text is the text) of every document row.
+
+    Encodes and decodes in one pass over the texts, so no ids travel between the two.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from overlapse.llm.pieces import blocks
+
+        c = codec(model)
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                sizes, crcs, same = [], [], []
+                for texts in blocks(part.column("text").to_pylist(), 1_000_000):
+                    for text, flat in zip(texts, c.encode(texts), strict=True):
+                        ids = np.frombuffer(flat, c.dtype)
+                        sizes.append(len(ids))
+                        crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                        same.append(c.decode(ids) == text.replace(MARK, " "))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
+
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_ids long, ids_crc32 long, round_trip boolean")

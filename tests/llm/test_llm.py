@@ -64,6 +64,14 @@ def test_pieces_match_the_library(texts):
         assert c.decode(ids) == t.replace("▁", " ")
 
 
+def test_pieces_as_tables(spark, odd):
+    model = queries.vocabulary(queries.PIECE_BPE)
+    back = sp_codec.decoded(sp_codec.encoded(odd, model), model)
+    one = sp_codec.round_trips(odd, model)
+    assert back.where(F.col("decoded") != F.translate("text", "▁", " ")).count() == 0 and one.where("round_trip").count() == len(ODD)
+    assert rows(back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32").toPandas()) == rows(one.drop("round_trip").toPandas())
+
+
 def test_ngram_join_odd(spark, odd):
     got = rows(ngram_join.jaccard_join(odd).toPandas())
     assert len(got) == len(ODD)
