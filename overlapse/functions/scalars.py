@@ -158,10 +158,11 @@ def seed_support(positive: Column, n: Column) -> Column:
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
-    p = F.try_divide(k.cast("double"), n)
+    n = F.when(n > 0, n)  # without rows there is no interval
+    p = k.cast("double") / n
     mid = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z / (1 + z * z / n) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), mid - half)), F.when(n.isNotNull(), F.least(F.lit(1.0), mid + half))
 
 
 def ppv(tpr: Column, fpr: Column, prevalence: float) -> Column:

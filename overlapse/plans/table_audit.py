@@ -287,7 +287,7 @@ def pair_metrics(spark: SparkSession, d: str) -> DataFrame:
 _W = lambda z, s: f"((fp / n::DOUBLE + {z * z} / (2 * n)) / (1 + {z * z} / n) {s} {z} / (1 + {z * z} / n) * sqrt(fp / n::DOUBLE * (1 - fp / n::DOUBLE) / n + {z * z} / (4.0::DOUBLE * n * n)))"
 O_METRICS = f"""WITH {S}, c AS (SELECT lang, count(*) FILTER (score >= 500 AND y = 1) AS tp, count(*) FILTER (score >= 500 AND y <> 1) AS fp, count(*) FILTER (score < 500 AND y = 1) AS fn, count(*) FILTER (score < 500 AND y <> 1) AS tn FROM s GROUP BY lang),
 r AS (SELECT *, fp + tn AS n, tp / nullif(tp + fn, 0)::DOUBLE AS tpr, fp / nullif(fp + tn, 0)::DOUBLE AS fpr FROM c)
-SELECT lang, tp, fp, fn, tn, round(tpr, 8) AS tpr, round(fpr, 8) AS fpr, round(greatest(0, {_W(1.959963984540054, '-')}), 8) AS fpr_low, round(least(1, {_W(1.959963984540054, '+')}), 8) AS fpr_high, round(least(1, {_W(1.6448536269514722, '+')}), 8) AS fpr_upper,
+SELECT lang, tp, fp, fn, tn, round(tpr, 8) AS tpr, round(fpr, 8) AS fpr, CASE WHEN n > 0 THEN round(greatest(0, {_W(1.959963984540054, '-')}), 8) END AS fpr_low, CASE WHEN n > 0 THEN round(least(1, {_W(1.959963984540054, '+')}), 8) END AS fpr_high, CASE WHEN n > 0 THEN round(least(1, {_W(1.6448536269514722, '+')}), 8) END AS fpr_upper,
  p::DOUBLE AS prevalence, round(tpr * p / nullif(tpr * p + fpr * (1 - p), 0), 8) AS ppv FROM r, (SELECT unnest([0.001::DOUBLE, 0.01::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE]) AS p)"""
 
 

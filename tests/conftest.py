@@ -32,7 +32,7 @@ def duck():
 def rows(frame):
     """A pandas frame as sorted rows of text, columns by name."""
     def show(v):
-        if v is None or v != v or str(v) == "<NA>":
+        if v is None or str(v) == "<NA>" or v != v:
             return "NULL"
         if isinstance(v, bool) or type(v).__name__ == "bool":
             return str(bool(v))
