@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from overlapse.llm.common import written
+
 CHUNK = 32.0
 #: Above a mean of 32, counts past 160 have a probability below the 2**-52 steps of the hash.
 REACH = 160
@@ -51,7 +53,9 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None) -> Da
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = 17, with_key: bool = False) -> DataFrame:
     """Copies of the documents in global random order; with_key adds copy (from 0), rate and shuffle_key."""
-    r = rates(docs, weights)
+    # as a written table the rates have a known size: where it is small they go to the documents, which
+    # then need no shuffle by source; beyond the broadcast threshold the join shuffles and splits hot sources
+    r = written(rates(docs, weights), "mixing-rates")
     d = docs.join(r, F.col("source").eqNullSafe(F.col("__src")))
     parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / CHUNK).cast("int"))
     d = d.withColumn("__parts", parts).withColumn("__mean", F.col("__rate") / F.col("__parts"))
