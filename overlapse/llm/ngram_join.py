@@ -190,7 +190,7 @@ def _block(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, thresho
     two = np.flatnonzero(side == 1)
     sizes = np.asarray([len(s) for s in sets], np.float64)
     left = [sets[i] for i in one]
-    if len(two):
+    if not (side == 2).any():  # one side may be empty
         n = shared_counts(left, [sets[i] for i in two])
         union = sizes[one][:, None] + sizes[two][None] - n
     else:

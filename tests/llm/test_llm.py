@@ -94,6 +94,13 @@ def test_ngram_blocks(monkeypatch):
     assert bands * rows_ <= 256 and 1 - (1 - 0.8**rows_) ** bands >= 0.995
 
 
+def test_ngram_block_without_a_partner():
+    sets = [np.arange(10, dtype=np.uint64)] * 3
+    for side in (0, 1):
+        links, root = ngram_join._block(sets, np.ones(3, np.int64), np.full(3, side), 0.8)
+        assert links.tolist() == [0, 0, 0] and root.tolist() == [0, 1, 2]
+
+
 def test_ngram_grid(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 7)
     r = np.random.default_rng(5)
