@@ -29,7 +29,8 @@ from overlapse.llm.common import connected, written
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.995, 256
 BLOCK_DOCS, BLOCK_GRAMS = 512, 500_000
-CHUNK = 1 << 21
+#: Bytes of text that are hashed at once.
+CHUNK = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15)
 _K = np.uint64(0xD6E8FEB86659FD93)
 
@@ -76,12 +77,35 @@ def gram_sets(column: pa.Array, n: int = N) -> Iterator[np.ndarray]:
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + CHUNK, "right")) - 1)
-        yield from _chunk(data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], n)
+        # a text longer than CHUNK stands alone here, and its words are hashed in parts
+        parts = [_word_hashes(part, np.clip(ends[lo : hi + 1] - ends[lo] - start, 0, len(part))) for start, part in _cut(data[ends[lo] : ends[hi]])]
+        h, places = parts[0]
+        if len(parts) > 1:
+            h = np.concatenate([p for p, _ in parts])
+            places = np.asarray([0, len(h)])
+        yield from _grams(h, places, n)
         lo = hi
 
 
-def _chunk(b: np.ndarray, at: np.ndarray, n: int) -> Iterator[np.ndarray]:
-    none = np.empty(0, np.uint64)
+def _cut(b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(start, bytes) of parts of about CHUNK bytes that end before white space."""
+    lo = 0
+    while len(b) - lo > CHUNK:
+        hi = lo + CHUNK
+        while hi < len(b):
+            some = b[hi : hi + 4096]
+            space = np.flatnonzero((some == 32) | ((some >= 9) & (some <= 13)))
+            if len(space):
+                hi += int(space[0])
+                break
+            hi += len(some)
+        yield lo, b[lo:hi]
+        lo = hi
+    yield lo, b[lo:]
+
+
+def _word_hashes(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and how many of them lie before each place of at."""
     b = b + ((b >= 65) & (b <= 90)).astype(np.uint8) * np.uint8(32)
     word = ~((b == 32) | ((b >= 9) & (b <= 13)))
     edge = np.zeros(len(b) + 1, bool)
@@ -94,8 +118,12 @@ def _chunk(b: np.ndarray, at: np.ndarray, n: int) -> Iterator[np.ndarray]:
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
     h = _mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
-    places = np.searchsorted(starts, at)
-    g = none
+    return h, np.searchsorted(starts, at)
+
+
+def _grams(h: np.ndarray, places: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """The n-gram sets of texts whose words lie between places."""
+    g = none = np.empty(0, np.uint64)
     if len(h) >= n:
         g = h[: len(h) - n + 1].copy()
         for j in range(1, n):
@@ -159,64 +187,59 @@ def signatures(docs: DataFrame, n: int = N, bands: int = 29, rows: int = 8) -> D
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
     """Sizes of the intersections of the sets of two lists (or of one with itself)."""
     sets = left + (right or [])
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    base, wide = (0, len(left)) if right is None else (len(left), len(right))
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     values = np.concatenate(sets)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
     sizes = np.diff(np.concatenate([first, [len(values)]]))
-    out = np.zeros((len(sets), len(sets)), np.float32)
+    out = np.zeros((len(left), wide), np.float32)
     # n-grams of few sets: their pairs one by one; of many: products of 0/1 columns
     few = (sizes > 1) & (sizes <= 12)
     for size in np.unique(sizes[few]):
         members = owner[first[few & (sizes == size)][:, None] + np.arange(size)]
         for i in range(size):
             for j in range(i + 1, size):
-                np.add.at(out, (members[:, i], members[:, j]), 1)
+                x, y = members[:, i], members[:, j]
+                if right is not None:
+                    across = (x < base) & (y >= base)
+                    x, y = x[across], y[across]
+                np.add.at(out, (x, y - base), 1)
+    if right is None:
+        out += out.T.copy()
     many = np.flatnonzero(sizes > 12)
-    for lo in range(0, len(many), 2048):
-        some = many[lo : lo + 2048]
+    for lo in range(0, len(many), 512):
+        some = many[lo : lo + 512]
         m = np.zeros((len(sets), len(some)), np.float32)
         for col, i in enumerate(some):
             m[owner[first[i] : first[i] + sizes[i]], col] = 1
-        out += np.triu(m @ m.T, 1)
-    out = out + out.T
-    return out[: len(left), len(left) :] if right is not None else out
+        out += m[: len(left)] @ m[base:].T
+    if right is None:
+        np.fill_diagonal(out, 0)
+    return out
 
 
 def _block(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(documents linked to each member, root of each member); side 0 and 1 are met with each other, side 2 with itself."""
-    one = np.flatnonzero(side != 1)
-    two = np.flatnonzero(side == 1)
-    sizes = np.asarray([len(s) for s in sets], np.float64)
-    left = [sets[i] for i in one]
-    if not (side == 2).any():  # one side may be empty
-        n = shared_counts(left, [sets[i] for i in two])
-        union = sizes[one][:, None] + sizes[two][None] - n
-    else:
+    one, two = np.flatnonzero(side != 1), np.flatnonzero(side == 1)
+    apart = not (side == 2).any()  # one side may be empty
+    if not apart:
         two = one
-        n = shared_counts(left, None)
-        union = sizes[one][:, None] + sizes[one][None] - n
-        np.fill_diagonal(n, 0)
-    hit = n >= threshold * union - 1e-6
+    sizes = np.asarray([len(s) for s in sets], np.float64)
+    n = shared_counts([sets[i] for i in one], [sets[i] for i in two] if apart else None)
     links = np.zeros(len(sets), np.int64)
-    links[one] += hit @ copies[two]
-    if two is not one:
-        links[two] += hit.T @ copies[one]
     root = np.arange(len(sets))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, row in zip(one, hit, strict=True):
-        for j in two[row]:
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    return links, np.asarray([find(i) for i in range(len(sets))])
+    for i, common in zip(one, n, strict=True):
+        near = two[common >= threshold * (sizes[i] + sizes[two] - common) - 1e-6]
+        links[i] += copies[near].sum()
+        if apart:
+            links[near] += copies[i]
+        met = root[near]
+        if (met != root[i]).any():
+            met = np.append(met, root[i])
+            root[np.isin(root, met)] = met.min()
+    return links, root
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:

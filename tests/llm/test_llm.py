@@ -94,6 +94,18 @@ def test_ngram_blocks(monkeypatch):
     assert bands * rows_ <= 256 and 1 - (1 - 0.8**rows_) ** bands >= 0.995
 
 
+def test_ngram_long_text_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    texts = ["", None, "a" * 5000, " ".join(f"w{k}" for k in r.integers(0, 50, 3000)), " Two  words", "x\n" * 900, "ä b c d e f"]
+    whole = list(ngram_join.gram_sets(pa.array(texts)))
+    for chunk in (64, 1000):
+        monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+        cut = list(ngram_join.gram_sets(pa.array(texts)))
+        assert len(cut) == len(texts) and all(np.array_equal(a, b) for a, b in zip(whole, cut, strict=True))
+
+
 def test_ngram_block_without_a_partner():
     sets = [np.arange(10, dtype=np.uint64)] * 3
     for side in (0, 1):
