@@ -260,7 +260,8 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     members = written(group.join(sizes, "rep"), "ngram-members")
     blocks = members.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     members = members.join(blocks, "part").select("rep", "part", "copies", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int").alias("block"))
-    texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(members, "rep")
+    # the plan of large inputs at every size: members grow with the input and are never broadcast
+    texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(members.hint("merge"), "rep")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
