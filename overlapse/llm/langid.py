@@ -2,7 +2,7 @@
 
 Windows of WINDOW bytes go through an embedding, convolutions of several widths, max pooling over the
 window and a softmax. Training takes windows at hashed places of at most SAMPLE labelled documents of each
-language, least hash first. For prediction the embedding and the filters are folded into tables over byte
+language, least hash first among those below a share of the hashes that holds twice as many on average. For prediction the embedding and the filters are folded into tables over byte
 pairs and single bytes, which give the same convolutions by look-up; every window of the whole text counts
 by its letters, and the mean log-probability decides.
 
@@ -16,11 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from overlapse.llm.common import written
+
 WINDOW = 128
 SAMPLE = 1500
+#: The greatest key of a document.
+KEYS = (1 << 63) - 1
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 DIM = 6
@@ -142,13 +146,20 @@ def judge(net: Net, texts: list[str | None]) -> tuple[list[str], list[float]]:
 def trained(labelled: DataFrame, sample: int = SAMPLE, windows: int = 4) -> Net:
     """A network from (doc_id, text, lang); `sample` bounds the documents of each language that are taken."""
     d = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    key = F.xxhash64(F.col("doc_id"), F.lit("langid"))
+    key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("langid")), 1)
     # pieces at hashed places of the text, not its beginning
     cut = lambda i: F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.lit(1), F.length("text") - WINDOW).cast("long")) + 1).cast("int"), F.lit(WINDOW))
     d = d.select("lang", "doc_id", key.alias("key"), F.array(*[cut(i) for i in range(windows)]).alias("cuts"))
-    # languages are few; each gives its least keys through a bounded top-n
-    langs = sorted(r["lang"] for r in d.select("lang").distinct().collect())
-    rows = [r for name in langs for r in d.where(F.col("lang") == name).orderBy("key", "doc_id").limit(sample).select("lang", "cuts").collect()]
+    # a share of each language's keys that holds twice the sample on average, so what is sorted and collected
+    # does not grow with the documents or their partitions; languages are few
+    sizes = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
+    if not langs:
+        return Net(langs).tables()
+    share = F.create_map(*[F.lit(v) for name in langs for v in (name, min(KEYS, KEYS * 2 * sample // sizes[name]))])
+    few = written(d.where(F.col("key") <= F.element_at(share, F.col("lang"))), "langid-sample")
+    least = Window.partitionBy("lang").orderBy("key", "doc_id", "cuts")
+    rows = few.withColumn("at", F.row_number().over(least)).where(F.col("at") <= sample).orderBy("lang", "at").select("lang", "cuts").collect()
     x = [(np.frombuffer(c.encode("utf-8", "replace")[:WINDOW].ljust(WINDOW, b"\0"), np.uint8), langs.index(r["lang"])) for r in rows for c in r["cuts"] if any(map(str.isalpha, c))]
     net = Net(langs)
     if len(langs) > 1:
