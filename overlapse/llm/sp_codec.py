@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-KEPT = 200_000
+KEPT = 400_000
 PAIRS = 500_000
 _WORD = re.compile(r" *[^ \n]+| +|\n+")
 
@@ -56,16 +56,19 @@ class Codec:
                 self.piece_id[piece] = i
                 self.score[piece] = sp.get_score(i)
                 self.table.append(piece.replace(MARK, " ").encode())
-        self.longest = max(map(len, self.piece_id))
         self.pieces = {i: p for p, i in self.piece_id.items()}
         self.fits: dict[int, bool] = {}
-        # pieces by their last character: (piece, length), only those that their own merges make
-        self.ends: dict[str, set[int]] = {}
-        for p in self.piece_id:
-            self.ends.setdefault(p[-1], set()).add(len(p))
-        self.sizes = {c: sorted(s) for c, s in self.ends.items()}
-        self.whole: dict[str, bool] = {}
+        # only the pieces that their own merges make, and the lengths of those by their last character
+        self.own = {p: i for p, i in self.piece_id.items() if self.merged(p) == [p]}
+        ends: dict[str, set[int]] = {}
+        for p in self.own:
+            ends.setdefault(p[-1], set()).add(len(p))
+        self.sizes = {c: sorted(s) for c, s in ends.items()}
+        self.long = {i: len(p) for p, i in self.own.items()}
+        self.flat = {i: i.to_bytes(self.dtype.itemsize, "little") for i in self.own.values()}
+        # ids of words met lately, in a newer and an older half
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging makes of a short text: best score first, leftmost among equals."""
@@ -91,47 +94,63 @@ class Codec:
             r = self.fits[a << 32 | b] = self.merged(x + y) == [x, y]
         return r
 
-    def _own(self, p: str) -> bool:
-        r = self.whole.get(p)
-        if r is None:
-            r = self.whole[p] = self.merged(p) == [p]
-        return r
-
     def words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """(word, ids) for distinct words, in sorted order."""
         last: list[int] = [-1]  # the last piece of the encoding of each prefix of the word before
-        ids: list[bytes] = [b""]  # and the ids up to there
         before = ""
-        has, sizes, width, own, follows = self.piece_id, self.sizes, self.dtype.itemsize, self._own, self.follows
+        own, sizes, long, flat, fits, follows = self.own, self.sizes, self.long, self.flat, self.fits, self.follows
         for word in sorted(words):
             k, most = 0, min(len(before), len(word))
             while k < most and before[k] == word[k]:
                 k += 1
-            del last[k + 1 :], ids[k + 1 :]
+            del last[k + 1 :]
             for i in range(k + 1, len(word) + 1):
                 for n in sizes.get(word[i - 1], ()):
                     if n > i:
-                        break
-                    p = word[i - n : i]
-                    if p in has and own(p) and (n == i or follows(last[i - n], has[p])):
-                        last.append(has[p])
-                        ids.append(ids[i - n] + has[p].to_bytes(width, "little"))
-                        break
+                        continue
+                    at = own.get(word[i - n : i])
+                    if at is None:
+                        continue
+                    if n < i and (a := last[i - n]) >= 0:
+                        r = fits.get(a << 32 | at)
+                        if not (follows(a, at) if r is None else r):
+                            continue
+                    last.append(at)
+                    break
                 else:
-                    # a character of no piece stands alone, as its bytes
-                    c = word[i - 1]
                     last.append(-1)
-                    ids.append(ids[i - 1] + b"".join(self.bytes_id[x].to_bytes(width, "little") for x in c.encode("utf-8", "replace")))
             before = word
-            yield word, ids[-1]
+            # the pieces from the end of the word back; a character of no piece stands alone, as its bytes
+            i, parts = len(word), []
+            while i:
+                a = last[i]
+                if a < 0:
+                    i -= 1
+                    parts.append(self._raw(word[i]))
+                else:
+                    i -= long[a]
+                    parts.append(flat[a])
+            parts.reverse()
+            yield word, b"".join(parts)
+
+    def _raw(self, c: str) -> bytes:
+        width = self.dtype.itemsize
+        return b"".join(self.bytes_id[x].to_bytes(width, "little") for x in c.encode("utf-8", "replace"))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of self.dtype."""
         cut = [_WORD.findall(f" {t}".replace(MARK, " ")) if t else [] for t in texts]
         new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = set().union(*cut)
+        # words met again move from the older half of what is kept to the newer
+        again = [w for w in new if w in self.older]
+        new.difference_update(again)
+        if len(self.known) + len(again) + len(new) > KEPT // 2:
+            keep = self.known
+            self.known = {w: keep[w] for w in set().union(*cut) if w in keep}
+            self.known.update((w, self.older[w]) for w in again)
+            self.older = keep
+        else:
+            self.known.update((w, self.older[w]) for w in again)
         for word, ids in self.words([w.replace(" ", MARK) for w in new]):
             self.known[word.replace(MARK, " ")] = ids
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
