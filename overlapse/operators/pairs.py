@@ -26,25 +26,41 @@ def adjacent_pairs(d: DataFrame, group: str, order: list[str], id_: str, signatu
     return out.where("b is not null").select(group, F.col(id_).alias("a"), "b")
 
 
-def disjoint_pairs(d: DataFrame, id_: str, formula: str, size: str, gap: int, seed: int = 0) -> DataFrame:
+def disjoint_pairs(d: DataFrame, id_: str, formula: str, size: str, gap: int, seed: int = 0, block: int = 1000) -> DataFrame:
     """Greedy pairs of unlike rows, each used once: rows in hash order, each taking the next free one that differs enough.
 
-    Serial by nature, so it runs over a bounded bank of candidates in one group.
+    Serial by nature, so ranges of the hash of about `block` rows are matched on their own, and what they leave
+    is matched in one further pass. Up to `block` rows that is the plain greedy order. Rows left by a block are
+    all alike, so they are few unless most rows are alike; they go to one task.
     """
     import pandas as pd
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        free, out = list(rows.sort_values(["key", "id"]).itertuples(index=False)), []
-        while free:
-            a = free.pop(0)
-            hit = next((i for i, b in enumerate(free) if b.formula != a.formula and abs(b.size - a.size) >= gap), None)
-            if hit is not None:
-                out.append((a.id, free.pop(hit).id))
-        return pd.DataFrame(out, columns=["a", "b"])
+        # an arriving row goes to the earliest waiting row it differs from; waiting rows are kept by formula
+        waiting, out = {}, []
+        for i, b in enumerate(rows.sort_values(["key", "id"]).itertuples(index=False)):
+            firsts = (next(((j, a, f) for j, a in w.items() if abs(b.size - a.size) >= gap), None) for f, w in waiting.items() if f != b.formula)
+            hit = min((x for x in firsts if x is not None), key=lambda x: x[0], default=None)
+            if hit is None:
+                waiting.setdefault(b.formula, {})[i] = b
+                continue
+            j, a, f = hit
+            del waiting[f][j]
+            if not waiting[f]:
+                del waiting[f]
+            out.append((a.id, b.id, True, a.formula, a.size, a.key))
+        out += [(a.id, a.id, False, a.formula, a.size, a.key) for w in waiting.values() for a in w.values()]
+        return pd.DataFrame(out, columns=["a", "b", "paired", "formula", "size", "key"])
 
     x = d.select(F.col(id_).alias("id"), F.col(formula).alias("formula"), F.col(size).alias("size"), stable_key(F.col(id_), seed).alias("key"))
-    kind = x.schema["id"].dataType.simpleString()
-    return x.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda p: greedy(p), f"a {kind}, b {kind}")
+    kind = {c: x.schema[c].dataType.simpleString() for c in x.columns}
+    out = f"a {kind['id']}, b {kind['id']}, paired boolean, formula {kind['formula']}, size {kind['size']}, key double"
+    blocks = d.agg(F.ceil(F.count("*") / block).alias("blocks"))
+    first = x.crossJoin(F.broadcast(blocks)).withColumn("block", F.floor(F.col("key") * F.col("blocks"))).drop("blocks")
+    first = first.groupBy("block").applyInPandas(lambda p: greedy(p), out)
+    left = first.where("not paired").select(F.col("a").alias("id"), "formula", "size", "key")
+    second = left.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda p: greedy(p), out)
+    return first.where("paired").select("a", "b").unionAll(second.where("paired").select("a", "b"))
 
 
 def auroc(d: DataFrame, score: str, y: str) -> DataFrame:

@@ -410,7 +410,7 @@ O_ADJACENT = "SELECT o_custkey, a, b FROM (SELECT o_custkey, o_orderkey AS a, le
 
 def disjoint_negatives(spark: SparkSession, d: str) -> DataFrame:
     """JN-20: greedy pairs of suppliers of different nations with distant keys, each used once."""
-    return pairs.disjoint_pairs(table(spark, d, "supplier").where("s_suppkey <= 1000"), "s_suppkey", "s_nationkey", "s_suppkey", 3)
+    return pairs.disjoint_pairs(table(spark, d, "supplier"), "s_suppkey", "s_nationkey", "s_suppkey", 3)
 
 
 def systematic_sample(spark: SparkSession, d: str) -> DataFrame:

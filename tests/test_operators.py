@@ -1,10 +1,13 @@
 """Laws of the key families, and operators on small fixtures."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from overlapse.functions import smiles
+from overlapse.functions.scalars import stable_key
 from overlapse.functions.text_keys import ROUTES, with_keys
-from overlapse.operators import inject, report
+from overlapse.operators import inject, pairs, report
+from overlapse.plans import table_audit
 from overlapse.sources import readers, writers
 
 
@@ -70,3 +73,30 @@ def test_certificate(spark):
     m = inject.replace_background(spark.createDataFrame([(0, "abc"), (1, "abcd")], "idx long, text string"), spark.createDataFrame([(1, "s", "exact", 1, 0, "xyz")], "request long, sample_id string, relation string, dose int, rep int, text string"))
     c = report.certificate("2026-01-02T03:04:05Z", spark.createDataFrame([("clean", 2)], "name string, n_lines long"), m, spark.createDataFrame([("train", 1)], "split string, n long"), spark.createDataFrame([("t", 0.1, 0.05)], "task string, mean double, low double"))
     assert c["risk"]["level"] == "elevated" and c["manifest"][0]["max_abs_length_delta"] == 0
+
+
+def _greedy(rows, gap):
+    """(a, b) over rows (id, formula) in order: each takes the next free one that differs."""
+    free, out = list(rows), []
+    while free:
+        a = free.pop(0)
+        hit = next((i for i, b in enumerate(free) if b[1] != a[1] and abs(b[0] - a[0]) >= gap), None)
+        if hit is not None:
+            out.append((a[0], free.pop(hit)[0]))
+    return out
+
+
+def test_disjoint_pairs_take_every_supplier(spark, tmp_path):
+    spark.range(2500).select(F.col("id").alias("s_suppkey"), F.when(F.col("id") % 3 > 0, F.lit(1)).otherwise(F.lit(2)).alias("s_nationkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = [(r.a, r.b) for r in table_audit.disjoint_negatives(spark, str(tmp_path)).collect()]
+    used = {x for p in got for x in p}
+    # a third is of the rarer nation, and each of it finds a partner
+    assert len(used) == 2 * len(got) and len(got) == len(range(0, 2500, 3)) and max(used) > 1000
+    assert all((a % 3 > 0) != (b % 3 > 0) and abs(a - b) >= 3 for a, b in got)
+
+
+def test_disjoint_pairs_in_one_block_are_the_greedy_ones(spark):
+    d = spark.range(300).select("id", (F.col("id") % 4).alias("f"))
+    keyed = d.withColumn("key", stable_key(F.col("id"), 0)).orderBy("key", "id").collect()
+    got = {(r.a, r.b) for r in pairs.disjoint_pairs(d, "id", "f", "id", 3).collect()}
+    assert got == set(_greedy([(r.id, r.f) for r in keyed], 3))
