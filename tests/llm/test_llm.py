@@ -195,6 +195,25 @@ def test_pii(spark, texts):
     assert not any(base_spans(re.sub(r"\[[A-Z_]+\]", "#", t or "")) for i, t in red.items() if i < at)
 
 
+def mod97(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_pii_iban_before_capitals(spark):
+    plain, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    other = f"ZZ{98 - mod97('ZZ00' + '1' * 16):02d}" + "1" * 16
+    cases = [(f"{n}{after}", [(0, len(n))]) for n in (plain, spaced, "GB82WEST12345698765432", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S", other) for after in ("", " Bitte zahlen", " The", " EUR 50", " BIC COBADEFFXXX", ".", " ok", " 4")]
+    cases += [(f"{plain} {spaced}", [(0, 22), (23, 50)]), (f"AB12 {spaced} EUR", [(5, 32)]), (f"é😀 {plain} X", [(3, 25)])]
+    cases += [(f"{plain}X", []), (f"{plain}x", []), (f"x{plain}", []), ("DE89370400440532013001 EUR", []), ("DE89 3704 0044", [])]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_data(d).collect()}
+    for i, (t, want) in enumerate(cases):
+        assert [x for x in (got[i] or "").split(",") if x.startswith("iban")] == [f"iban:{a}:{b}" for a, b in want], t
+    red = {r.doc_id: r.text for r in pii.redacted(d).collect()}
+    assert red[1] == "[IBAN] Bitte zahlen" and red[3] == "[IBAN] EUR 50" and red[4] == "[IBAN] BIC COBADEFFXXX"
+
+
 def test_mixing(spark, odd):
     out = mixing.mixed(odd)
     assert out.columns == odd.columns and mixing.mixed(odd.where("false")).count() == 0
