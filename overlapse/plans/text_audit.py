@@ -334,6 +334,12 @@ O_MINHASH = f"""WITH {_SETS}, x AS (SELECT item_id, {_SIG} AS s FROM b), y AS (S
 SELECT item_id, round(max(list_sum(list_transform(range(1, 17), lambda i: (x.s[i] = y.s[i])::INT))) / 16.0::DOUBLE, 8) AS best FROM x, y GROUP BY item_id"""
 
 
+def nearest_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """FN-15, FN-18, FN-20, JN-09, JN-10: shingle_tanimoto_max and minhash_max over every sentence of items and documents, with signatures of 128 places."""
+    q, c = sentences(table(spark, d, BENCH), "text", ["item_id"]), sentences(table(spark, d, DOC), "text", ["doc_id"])
+    return rounded(detect.nearest_of_all(q, c, "item_id"))
+
+
 def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
     """FN-16, FN-18: signatures of the benchmark's shingle sets."""
     q, _ = _sets(spark, d)
@@ -453,6 +459,6 @@ O_SPLIT_COUNTS = "SELECT source, string_agg(lang || '=' || n, ',' ORDER BY lang)
 QUERIES = {f.__name__: (f, o) for f, o in (
     (key_index, O_KEY_INDEX), (background_hits, O_BACKGROUND), (passage_containment, O_CONTAINMENT), (exposure_by_task, O_EXPOSURE), (scaffold_split, O_SPLIT), (affected_selection, O_AFFECTED), (train_subsample, O_SUBSAMPLE),
     (draws_with_replacement, O_DRAWS), (ordered_dedup, O_DEDUP), (unseen_sentences, O_UNSEEN), (injection_recall, O_INJECTION), (claim_matrix, O_CLAIMS), (method_summary, O_METHODS), (claim_win_tie_loss, O_WTL), (scenario_summary, O_SCENARIOS),
-    (variant_injection, None), (certificate_rollup, None), (decoy_pick, O_DECOYS), (shingle_tanimoto_max, O_TANIMOTO), (minhash_max, O_MINHASH), (minhash_signature, O_SIGNATURE), (bundle_hits, O_BUNDLES), (abstention, O_ABSTENTION), (path_stability, O_STABILITY),
+    (variant_injection, None), (certificate_rollup, None), (decoy_pick, O_DECOYS), (shingle_tanimoto_max, O_TANIMOTO), (minhash_max, O_MINHASH), (nearest_sentences, None), (minhash_signature, O_SIGNATURE), (bundle_hits, O_BUNDLES), (abstention, O_ABSTENTION), (path_stability, O_STABILITY),
     (privacy_scan, O_PRIVACY), (page_keywords, O_KEYWORDS), (vocabulary_counts, O_VOCABULARY), (stable_keys, O_STABLE), (first_records, O_FIRST), (length_cap, O_CAP), (split_counts, O_SPLIT_COUNTS),
 )}

@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from overlapse.functions import smiles
-from overlapse.functions.scalars import stable_key
-from overlapse.functions.text_keys import ROUTES, with_keys
-from overlapse.operators import inject, pairs, report
-from overlapse.plans import table_audit
+from overlapse.functions.scalars import minhash, stable_key
+from overlapse.functions.text_keys import ROUTES, shingles, with_keys
+from overlapse.operators import detect, inject, pairs, report
+from overlapse.plans import table_audit, text_audit
 from overlapse.sources import readers, writers
 
 
@@ -100,3 +100,27 @@ def test_disjoint_pairs_in_one_block_are_the_greedy_ones(spark):
     keyed = d.withColumn("key", stable_key(F.col("id"), 0)).orderBy("key", "id").collect()
     got = {(r.a, r.b) for r in pairs.disjoint_pairs(d, "id", "f", "id", 3).collect()}
     assert got == set(_greedy([(r.id, r.f) for r in keyed], 3))
+
+
+def test_nearest_sentences_see_every_sentence(spark, tmp_path):
+    # the copied sentence is the first neither of its item nor of its document
+    copied = "zebras graze on the wide plain at dusk"
+    docs = [(1, f"aardvarks dig for ants in dry soil. {copied}. more of it follows here"), (2, "éclairs and other cakes of the old town"), (3, "Aardvarks dig for ants in dry soil")]
+    items = [(7, f"about another thing altogether now. {copied}"), (8, "one xylophone makes quite enough noise"), (9, "short")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.item_id: r for r in text_audit.nearest_sentences(spark, str(tmp_path)).collect()}
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    units = lambda rows: [(k, s) for k, t in rows for s in t.lower().split(". ") if len(s) > 20]
+    corpus = {u for _, u in units(docs)}
+    every = sorted({u for _, u in units(items)} | corpus)
+    signed = spark.createDataFrame([(u,) for u in every], "unit string").select("unit", minhash(shingles(F.col("unit")), 128).alias("s"))
+    sign = {r.unit: r.s for r in signed.collect()}
+    assert sorted(got) == [7, 8] and got[7].best == got[7].best_minhash == 1.0
+    for k, r in got.items():
+        mine = [u for x, u in units(items) if x == k]
+        assert r.best == round(max(len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a in mine for b in corpus), 8)
+        assert r.best_minhash == round(max(sum(x == y for x, y in zip(sign[a], sign[b], strict=True)) for a in mine for b in corpus) / 128, 8)
+        assert r.n_share == sum(any(grams(a) & grams(b) for a in mine) for b in corpus)
+    tasks = detect.nearest_of_all(spark.createDataFrame(units(items), "item_id long, unit string"), spark.createDataFrame(units(docs), "doc_id long, unit string"), "item_id", block=1)
+    assert {r.item_id: (round(r.best, 8), r.n_share) for r in tasks.collect()} == {k: (r.best, r.n_share) for k, r in got.items()}
