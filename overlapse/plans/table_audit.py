@@ -217,7 +217,7 @@ v AS (SELECT draw, avg(did) AS v FROM (SELECT draw, floor({HASH("draw || '|' ||
 SELECT count(v) AS draws, round(avg(v), 7) AS mean, round(quantile_cont(v, 0.025), 7) AS low, round(quantile_cont(v, 0.975), 7) AS high, round(avg((v > 0)::INT::DOUBLE), 7) AS p_positive FROM v"""
 
 
-def _cell_draws(spark: SparkSession, d: str, draws: int = 100) -> DataFrame:
+def _cell_draws(spark: SparkSession, d: str, draws: int = 2000) -> DataFrame:
     p = _paired(spark, d).withColumn("task", F.col("cluster") % 5)
     return effect.two_level_bootstrap(p, draws, 0, "task")
 

@@ -1,6 +1,7 @@
 """Laws of the key families, and operators on small fixtures."""
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from overlapse.functions import smiles
@@ -124,3 +125,8 @@ def test_nearest_sentences_see_every_sentence(spark, tmp_path):
         assert r.n_share == sum(any(grams(a) & grams(b) for a in mine) for b in corpus)
     tasks = detect.nearest_of_all(spark.createDataFrame(units(items), "item_id long, unit string"), spark.createDataFrame(units(docs), "doc_id long, unit string"), "item_id", block=1)
     assert {r.item_id: (round(r.best, 8), r.n_share) for r in tasks.collect()} == {k: (r.best, r.n_share) for k, r in got.items()}
+
+
+def test_two_level_draws_are_the_reference_s(spark):
+    assert {r.draws for r in table_audit.two_level_bootstrap(spark, str(DATA)).collect()} == {2000}
+    assert table_audit.global_bootstrap(spark, str(DATA)).first().draws == 2000
