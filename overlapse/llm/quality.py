@@ -2,9 +2,11 @@
 
 Lines are normalised (lower case, runs of white space made one space) and hashed. For each host
 (the `source` of a document) the number of distinct documents that hold a line is counted; exact
-copies of a text count as one document, so copies alone make no line common. Lines held by more
-than max(min_docs, share of the host's distinct documents) are common: they are removed, and a
-document that this depletes is rejected.
+copies of a text count as one document, so copies alone make no line common. A line is common if
+more than min_docs documents hold it and these are more than a share of the host's distinct documents
+by two standard deviations, or if more than max_docs documents hold it, whatever the host's size. So a
+line on most documents of a host of five is common, and so is one on a small part of a very large
+host. Common lines are removed, and a document that this depletes is rejected.
 
 Defined cases: null text counts as empty; an empty text has no words and fails the base rules;
 null source is a host of its own; repeated rows get the same result each.
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from overlapse.llm.common import SPACE, WORD
+from overlapse.llm.common import SPACE, WORD, named, private
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -25,8 +27,9 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class LineLimits:
-    min_docs: int = 20
-    share: float = 0.10
+    min_docs: int = 4
+    share: float = 0.05
+    max_docs: int = 10_000
     max_removed_share: float = 0.70
     min_left: int = 5
 
@@ -93,7 +96,9 @@ def common_lines(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFram
         .distinct().groupBy("__host").agg(F.count("*").alias("host_docs"))
     )
     joined = n.join(hosts, F.col("__src").eqNullSafe(F.col("__host")))
-    return joined.where(F.col("n_docs") > F.col("host_docs") * limits.share).select("__src", "__hash", "n_docs")
+    mean = F.col("host_docs") * limits.share
+    above = (F.col("n_docs") > mean + 2 * F.sqrt(mean)) | (F.col("n_docs") > limits.max_docs)
+    return joined.where(above).select("__src", "__hash", "n_docs")
 
 
 def removed_lines(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
@@ -136,18 +141,17 @@ def quality_rules(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFra
 
 def cleaned(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """The kept documents without their common lines; columns as they came, n_chars set to the new length."""
-    text = F.coalesce("text", F.lit(""))
-    verdict = judged(docs, limits).where("kept").select(
-        F.col("doc_id").alias("__v_id"), F.col("__key").alias("__v_key"), F.col("__source").alias("__v_src"), "__hashes"
-    )
-    d = docs.withColumn("__key", F.xxhash64(text))
-    on = F.col("doc_id").eqNullSafe(F.col("__v_id")) & (F.col("__key") == F.col("__v_key")) & F.col("source").eqNullSafe(F.col("__v_src"))
+    own = private(docs)
+    key, id_, of, host, gone = own("key"), own("id"), own("of"), own("host"), own("gone")
+    verdict = judged(docs, limits).where("kept").select(F.col("doc_id").alias(id_), F.col("__key").alias(of), F.col("__source").alias(host), F.col("__hashes").alias(gone))
+    d = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    on = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(of)) & F.col("source").eqNullSafe(F.col(host))
     d = d.join(verdict, on)
-    stay = F.filter(F.split(F.col("text"), "\n"), lambda x: ~F.array_contains(F.col("__hashes"), F.xxhash64(_normal(x))))
-    d = d.withColumn("text", F.when(F.col("__hashes").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
+    stay = F.filter(F.split(F.col("text"), "\n"), lambda x: ~F.array_contains(F.col(gone), F.xxhash64(_normal(x))))
+    d = d.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+    return d.select(*map(named, docs.columns))
 
 
 #: The same verdicts in DuckDB; lines are compared as text there, not as hashes.
@@ -161,7 +165,7 @@ c AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (SELECT unnest(range(0, 8))
 l AS (SELECT rid, source, t, trim(lower(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS line FROM (SELECT rid, source, t, unnest(ls) AS x FROM w)),
 h AS (SELECT source, count(DISTINCT t) AS host_docs FROM d GROUP BY source),
 f AS (SELECT l.source, line FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, line, host_docs
-      HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > host_docs * 0.1::DOUBLE),
+      HAVING count(DISTINCT t) > 4 AND (count(DISTINCT t) > host_docs * 0.05::DOUBLE + 2 * sqrt(host_docs * 0.05::DOUBLE) OR count(DISTINCT t) > 10000)),
 x AS (SELECT rid, sum(len(string_split(l.line, ' ')))::BIGINT AS gone FROM l JOIN f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source GROUP BY rid),
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
