@@ -2,7 +2,8 @@
 
 Windows of WINDOW bytes go through an embedding, convolutions of several widths, max pooling over the
 window and a softmax. Training takes windows at hashed places of at most SAMPLE labelled documents of each
-language, least hash first among those below a share of the hashes that holds twice as many on average. For prediction the embedding and the filters are folded into tables over byte
+of the LANGS most frequent languages, least hash first among those below a share of the hashes that holds
+twice as many on average. For prediction the embedding and the filters are folded into tables over byte
 pairs and single bytes, which give the same convolutions by look-up; every window of the whole text counts
 by its letters, and the mean log-probability decides.
 
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from overlapse.llm.common import written
+from overlapse.llm.common import slices, written
 
 WINDOW = 128
 SAMPLE = 1500
+#: The languages that are learned, those with most documents first.
+LANGS = 128
 #: The greatest key of a document.
 KEYS = (1 << 63) - 1
 WIDTHS = (2, 3, 4)
@@ -124,35 +127,53 @@ _LETTERS = np.zeros(256, np.float32)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = 1
 
 
+#: Windows worked on at once.
+STEP = 256
+
+
 def judge(net: Net, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """The language and score of each text."""
+    """The language and score of each text; what is held at once beside the texts is one text and STEP windows."""
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
     todo = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if net.langs else []
-    for lo in range(0, len(todo), 64):
-        some = todo[lo : lo + 64]
-        parts = [_windows(texts[i].encode("utf-8", "replace")) for i in some]
-        x = np.concatenate(parts)
-        probs = np.concatenate([net.log_probs(x[j : j + 256]) for j in range(0, len(x), 256)])
+    sums, total = np.zeros((len(texts), max(1, len(net.langs)))), np.zeros(len(texts))
+
+    def add(x: np.ndarray, owner: np.ndarray) -> None:
         weight = _LETTERS[x].sum(1) + 1e-3
-        starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-        mean = np.add.reduceat(probs * weight[:, None], starts) / np.add.reduceat(weight, starts)[:, None]
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        sums[owner[first]] += np.add.reduceat(net.log_probs(x) * weight[:, None], first)
+        total[owner[first]] += np.add.reduceat(weight, first)
+
+    held, owners, n = [], [], 0
+    for i in todo:
+        w = _windows(texts[i].encode("utf-8", "replace"))
+        for lo in range(0, len(w), STEP):
+            held.append(w[lo : lo + STEP])
+            owners.append(np.full(len(held[-1]), i))
+            n += len(held[-1])
+            if n >= STEP:
+                add(np.concatenate(held), np.concatenate(owners))
+                held, owners, n = [], [], 0
+    if n:
+        add(np.concatenate(held), np.concatenate(owners))
+    if todo:
+        mean = sums[todo] / total[todo][:, None]
         p = np.exp(mean - mean.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        for i, best, row in zip(some, p.argmax(1), p, strict=True):
+        for i, best, row in zip(todo, p.argmax(1), p, strict=True):
             langs[i], scores[i] = net.langs[best], float(min(1.0, row[best]))
     return langs, scores
 
 
-def trained(labelled: DataFrame, sample: int = SAMPLE, windows: int = 4) -> Net:
-    """A network from (doc_id, text, lang); `sample` bounds the documents of each language that are taken."""
+def trained(labelled: DataFrame, sample: int = SAMPLE, windows: int = 4, most: int = LANGS) -> Net:
+    """A network from (doc_id, text, lang); `sample` bounds the documents of each language that are taken, `most` the languages."""
     d = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("langid")), 1)
     # pieces at hashed places of the text, not its beginning
     cut = lambda i: F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.lit(1), F.length("text") - WINDOW).cast("long")) + 1).cast("int"), F.lit(WINDOW))
     d = d.select("lang", "doc_id", key.alias("key"), F.array(*[cut(i) for i in range(windows)]).alias("cuts"))
     # a share of each language's keys that holds twice the sample on average, so what is sorted and collected
-    # does not grow with the documents or their partitions; languages are few
-    sizes = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
+    # does not grow with the documents or their partitions, nor with labels that are no languages
+    sizes = {r["lang"]: r["count"] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     langs = sorted(sizes)
     if not langs:
         return Net(langs).tables()
@@ -174,10 +195,9 @@ def language(docs: DataFrame, net: Net) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = judge(sent.value, b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            for part in slices(b):
+                langs, scores = judge(sent.value, part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     d = docs.select("doc_id", "text")
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
-
-

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from overlapse.llm.common import written
+from overlapse.llm.common import named, private, written
 
 CHUNK = 32.0
 #: Above a mean of 32, counts past 160 have a probability below the 2**-52 steps of the hash.
@@ -52,20 +52,24 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None) -> Da
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = 17, with_key: bool = False) -> DataFrame:
-    """Copies of the documents in global random order; with_key adds copy (from 0), rate and shuffle_key."""
+    """Copies of the documents in global random order.
+
+    with_key adds copy (from 0), rate and shuffle_key; they take the place of columns of docs of these names.
+    """
+    own = private(docs)
+    src, rate, parts, mean, count, copy, key = map(own, ("src", "rate", "parts", "mean", "count", "copy", "key"))
     # as a written table the rates have a known size: where it is small they go to the documents, which
     # then need no shuffle by source; beyond the broadcast threshold the join shuffles and splits hot sources
-    r = written(rates(docs, weights), "mixing-rates")
-    d = docs.join(r, F.col("source").eqNullSafe(F.col("__src")))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / CHUNK).cast("int"))
-    d = d.withColumn("__parts", parts).withColumn("__mean", F.col("__rate") / F.col("__parts"))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda a, j: a + _poisson(_uniform(F.lit(seed), j, F.col("doc_id")), F.col("__mean")))
-    d = d.withColumn("__count", drawn).where("__count > 0")
-    d = d.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
-    d = d.withColumn("__key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("__copy"))))
-    d = d.orderBy("__key")
-    extra = [F.col("__copy").alias("copy"), F.round("__rate", 9).alias("rate"), F.col("__key").alias("shuffle_key")] if with_key else []
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], *extra)
+    r = written(rates(docs, weights), "mixing-rates").withColumnsRenamed({"__src": src, "__rate": rate})
+    d = docs.join(r, F.col("source").eqNullSafe(F.col(src)))
+    d = d.withColumn(parts, F.greatest(F.lit(1), F.ceil(F.col(rate) / CHUNK).cast("int"))).withColumn(mean, F.col(rate) / F.col(parts))
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda a, j: a + _poisson(_uniform(F.lit(seed), j, F.col("doc_id")), F.col(mean)))
+    d = d.withColumn(count, drawn).where(F.col(count) > 0)
+    d = d.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
+    d = d.withColumn(key, F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(copy))))
+    d = d.orderBy(key)
+    extra = {"copy": F.col(copy), "rate": F.round(rate, 9), "shuffle_key": F.col(key)} if with_key else {}
+    return d.select(*[named(c) for c in docs.columns if c.lower() not in extra], *[c.alias(n) for n, c in extra.items()])
 
 
 ORACLE = """

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overlapse.llm.common import connected, written
+from overlapse.llm.common import connected, named, private, slices, written
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.995, 256
 BLOCK_DOCS, BLOCK_GRAMS = 512, 500_000
@@ -172,8 +172,7 @@ def signatures(docs: DataFrame, n: int = N, bands: int = 29, rows: int = 8) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
+            for part in slices(b, rows=64):
                 sets = list(gram_sets(part.column("text"), n))
                 full = [s for s in sets if len(s)]
                 found = iter(signer.sign(full).view(np.int64).tolist() if full else ())
@@ -265,8 +264,7 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
+            for part in slices(b, rows=64):
                 sets = pa.array([s.tobytes() for s in gram_sets(part.column("text"), n)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("rep", "part", "copies", "blocks", "block")], sets], names=["rep", "part", "copies", "blocks", "block", "grams"])
 
@@ -298,11 +296,12 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
 
 def first_of_each(docs: DataFrame, **how: float) -> DataFrame:
     """One document of each class, the one with the least doc_id; rows without doc_id all stay, columns as they came."""
-    keep = jaccard_join(docs, **how).where("doc_id = class_id").select(F.col("doc_id").alias("__keep")).distinct()
-    marked = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("__keep"))
+    mine = private(docs)("keep")
+    keep = jaccard_join(docs, **how).where("doc_id = class_id").select(F.col("doc_id").alias(mine)).distinct()
+    marked = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col(mine))
     # rows that repeat a document are copies of it
-    one = marked.dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.unionByName(docs.where("doc_id is null"))
+    one = marked.dropDuplicates(["doc_id"]).select(*map(named, docs.columns))
+    return one.union(docs.where("doc_id is null"))
 
 
 ORACLE = """

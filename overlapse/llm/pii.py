@@ -21,6 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from overlapse.llm.common import named, private
+
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
@@ -131,15 +133,16 @@ def _found(t: str, gaps: str, hits: str, kind: str) -> Column:
     return F.when(F.size(hits) > 0, F.aggregate(both, zero, step)["spans"]).otherwise(F.array().cast(SPAN))
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with __t, the text, and __spans, all spans by kind as listed, then start."""
-    d = docs.withColumn("__t", F.coalesce("text", F.lit("")))
+def with_spans(docs: DataFrame, text: str, spans: str) -> DataFrame:
+    """docs with columns of these names, the text and all spans by kind as listed, then start."""
+    d = docs.withColumn(text, F.coalesce("text", F.lit("")))
     none = F.array().cast("array<string>")
     patterns = {p: next(k for k in KINDS if PATTERN[k] == p) for p in dict.fromkeys(PATTERN.values())}
-    d = d.withColumns({f"__m_{k}": F.when(NEEDS[k](F.col("__t")), F.regexp_extract_all("__t", F.lit(p), F.lit(0))).otherwise(none) for p, k in patterns.items()})
-    d = d.withColumns({f"__g_{k}": F.when(F.size(f"__m_{k}") > 0, F.split("__t", p, -1)).otherwise(none) for p, k in patterns.items()})
-    d = d.withColumn("__spans", F.concat(*[_found("__t", f"__g_{patterns[PATTERN[k]]}", f"__m_{patterns[PATTERN[k]]}", k) for k in KINDS]))
-    return d.drop(*[f"__{x}_{k}" for x in "mg" for k in patterns.values()])
+    hits, gaps = ({k: f"{spans}_{x}_{k}" for k in patterns.values()} for x in ("hits", "gaps"))
+    d = d.withColumns({hits[k]: F.when(NEEDS[k](F.col(text)), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for p, k in patterns.items()})
+    d = d.withColumns({gaps[k]: F.when(F.size(hits[k]) > 0, F.split(text, p, -1)).otherwise(none) for p, k in patterns.items()})
+    d = d.withColumn(spans, F.concat(*[_found(text, gaps[patterns[PATTERN[k]]], hits[patterns[PATTERN[k]]], k) for k in KINDS]))
+    return d.drop(*hits.values(), *gaps.values())
 
 
 def _listed(spans: Column) -> Column:
@@ -148,7 +151,7 @@ def _listed(spans: Column) -> Column:
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """The spans of every document row, with counts and a digest of the base kinds."""
-    d = with_spans(docs.select("doc_id", "text"))
+    d = with_spans(docs.select("doc_id", "text"), "__t", "__spans")
     of = lambda k: F.size(F.filter("__spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("__spans", lambda s: s["kind"].isin(*BASE))
     scored = F.array_join(F.transform("__spans", lambda s: F.format_number(s["score"], 2)), ",")
@@ -157,21 +160,22 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    d = with_spans(docs)
+    own = private(docs)
+    text, spans, order, parts = own("text"), own("spans"), own("order"), own("parts")
+    d = with_spans(docs, text, spans)
     piece = "array<struct<start:int,end:int,kind:string>>"
     # longer spans first at the same start
-    order = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    d = d.withColumn("__o", order)
+    d = d.withColumn(order, F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")))))
     def merge(a: Column, s: Column) -> Column:
         last = F.element_at(a, -1)
         end = -s["back"]
         joined = F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"), last["kind"].alias("kind"))).cast(piece))
         return F.when((F.size(a) > 0) & (s["start"] < F.try_element_at(a, F.lit(-1))["end"]), joined).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), end.alias("end"), s["kind"].alias("kind"))).cast(piece)))
-    d = d.withColumn("__p", F.when(F.size("__o") > 0, F.aggregate("__o", F.array().cast(piece), merge)))
-    cut = lambda s, e: F.substring(F.col("__t"), s + 1, e - s)
-    parts = F.transform("__p", lambda s, i: F.concat(cut(F.when(i > 0, F.get("__p", i - 1)["end"]).otherwise(0), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    new = F.concat(F.array_join(parts, ""), cut(F.element_at("__p", -1)["end"], F.length("__t")))
-    d = d.withColumn("text", F.when(F.col("__p").isNotNull(), new).otherwise(F.col("text")))
+    d = d.withColumn(parts, F.when(F.size(order) > 0, F.aggregate(order, F.array().cast(piece), merge)))
+    cut = lambda s, e: F.substring(F.col(text), s + 1, e - s)
+    put = F.transform(parts, lambda s, i: F.concat(cut(F.when(i > 0, F.get(parts, i - 1)["end"]).otherwise(0), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    new = F.concat(F.array_join(put, ""), cut(F.element_at(parts, -1)["end"], F.length(text)))
+    d = d.withColumn("text", F.when(F.col(parts).isNotNull(), new).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("__p").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+        d = d.withColumn("n_chars", F.when(F.col(parts).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return d.select(*map(named, docs.columns))
