@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from overlapse.llm import mixing, ngram_join, pii, quality
-from overlapse.llm.common import written
+from overlapse.llm.common import tidied, written
 from overlapse.llm.queries import piece_digest
 
 
@@ -42,15 +42,15 @@ STAGES = [
     ("SentencePiece encoding and decoding", token_stage),
 ]
 
-#: Near-duplicate classes and piece encoding have no SQL form; tests/llm checks run() against brute force.
+#: Near-duplicate classes and piece encoding have no SQL form; tests/llm checks run() against a brute-force version of every stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
+    """All stages over `documents`, each written to the shared folder and read again; what earlier stages wrote is then removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{i}")
-    return docs
+    with tidied(spark, keep=1):
+        for i, (_, stage) in enumerate(STAGES[:-1]):
+            with tidied(spark, keep=1):
+                docs = written(stage(spark, docs, sf_dir), f"pipeline-{i}")
+    return STAGES[-1][1](spark, docs, sf_dir)
