@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overlapse.functions import smiles
-from overlapse.functions.scalars import aromatic_atoms, as_bool, charged_atoms, ci_text, connectivity_block, decision_support, dose_of, effect_support, formula_weight, heavy_atoms, inchi_formula, inchi_layers, relation_of, seed_support
+from overlapse.functions.scalars import as_bool, ci_text, decision_support, dose_of, effect_support, relation_of, seed_support
 from overlapse.operators import audit, detect, effect, pairs, report, selection
 from overlapse.plans.text_audit import HASH, rounded
 from overlapse.sources.readers import table
@@ -459,28 +458,10 @@ def readiness(spark: SparkSession, d: str) -> DataFrame:
 O_READINESS = f"WITH {E_}, r AS (SELECT bool_or(relation = 'decoy') AS has_decoys, count(DISTINCT relation) >= 4 AS three_relations, count(DISTINCT seed) >= 3 AS seeds, bool_and(n_affected >= 10) AS all_supported FROM e) SELECT unnest(['has_decoys', 'three_relations', 'seeds', 'all_supported']) AS criterion, unnest([has_decoys, three_relations, seeds, all_supported]) AS passed FROM r"
 
 
-def mini_smiles_laws(spark: SparkSession, d: str) -> DataFrame:
-    """FN-01..09, FN-37 of the chemical family on the laws' molecules."""
-    rows = [("OCC",), ("CCO",), ("CCO.Cl",), ("F[C@H](Cl)Br",), ("F[C@@H](Cl)Br",), ("O=C1NC=CC=C1",), ("OC1=NC=CC=C1",), ("not-a-smiles",)]
-    return smiles.with_keys(spark.createDataFrame(rows, "smiles string"))
-
-
-def identifier_layers(spark: SparkSession, d: str) -> DataFrame:
-    """FN-09..13: layers of identifiers, formulas and atom counts on fixed molecules."""
-    rows = [("InChI=1S/C2H6O/c1-2-3/h3H,2H2,1H3", "LFQSCWFLJHTTHZ-UHFFFAOYSA-N", "CCO"), ("InChI=1S/CHBrClF/c2-1(3)4/h1H/t1-/m0/s1", "YNKZSBSRKWVMEZ-AENDTGMFSA-N", "F[C@H](Cl)Br"), ("InChI=1S/C6H6/c1-2-4-6-5-3-1/h1-6H", "UHOVQNZJYSORNB-UHFFFAOYSA-N", "c1ccccc1")]
-    x = spark.createDataFrame(rows, "inchi string, inchikey string, smiles string")
-    i = F.col("inchi")
-    return x.select("smiles", inchi_layers(i, True).alias("stereo_layers"), inchi_layers(i, False).alias("rest"), inchi_formula(i).alias("formula"), heavy_atoms(inchi_formula(i)).alias("heavy"), F.round(formula_weight(inchi_formula(i)), 3).alias("weight"), connectivity_block(F.col("inchikey")).alias("block"), charged_atoms(F.col("smiles")).alias("charged"), aromatic_atoms(F.col("smiles")).alias("aromatic"))
-
-
-O_LAYERS = """SELECT * FROM (VALUES ('CCO', '', 'InChI=1S/C2H6O/c1-2-3/h3H,2H2,1H3', 'C2H6O', 3, 46.069, 'LFQSCWFLJHTTHZ', 0, 0), ('F[C@H](Cl)Br', 't1-/m0/s1', 'InChI=1S/CHBrClF/c2-1(3)4/h1H', 'CHBrClF', 4, 147.371, 'YNKZSBSRKWVMEZ', 0, 0),
-('c1ccccc1', '', 'InChI=1S/C6H6/c1-2-4-6-5-3-1/h1-6H', 'C6H6', 6, 78.114, 'UHOVQNZJYSORNB', 0, 6)) t(smiles, stereo_layers, rest, formula, heavy, weight, block, charged, aromatic)"""
-
 _ALL = (
     (did_by_seed, O_DID), (did_label_adjusted, O_LABEL), (pairing_check, O_PAIRING), (three_way, O_THREE), (minus_decoy, O_MINUS), (relation_pivot, O_PIVOT), (relation_unpivot, O_UNPIVOT), (quartile_summary, O_QUARTILES), (task_top, O_TOP), (global_top, O_GLOBAL),
     (relation_dose, O_RELDOSE), (meta_fixed_effect, O_META), (equivalence, O_EQUIVALENCE), (support_buckets, O_SUPPORT), (ols_affected, None), (slope_affected, O_SLOPE), (cluster_bootstrap, O_CLUSTER), (seed_bootstrap, O_SEED), (two_level_bootstrap, None), (global_bootstrap, None), (dispersion, None),
     (auroc, O_AUROC), (auprc, O_AUPRC), (auprc_ordered, O_AP), (threshold95, O_THRESHOLD), (pair_metrics, O_METRICS), (negative_breakdown, O_NEGATIVES), (task_metrics, O_TASK), (confusion_matrix, O_CONFUSION), (class_metrics, O_CLASSES), (hard_negatives_band, O_BAND), (high_similarity_negatives, O_SIMILAR),
     (cosine_top1, O_COSINE), (registry_parent_pairs, O_PARENTS), (shared_assays, O_ASSAYS), (adjacent_stereo, O_ADJACENT), (disjoint_negatives, None), (systematic_sample, O_SYSTEMATIC), (condition_names, O_CONDITIONS), (planned_jobs, O_PLANNED), (checksum_audit, O_CHECKSUM), (readiness, O_READINESS),
-    (mini_smiles_laws, None), (identifier_layers, O_LAYERS),
 )
 QUERIES = {f.__name__: (f, o) for f, o in _ALL}

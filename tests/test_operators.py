@@ -26,6 +26,43 @@ def test_molecules_abstain_and_hold():
     assert smiles.canonical("F/C=C/F") is None and smiles.stereo("F/C=C/F")
 
 
+def test_molecules_in_tables(spark):
+    """The laws through the table form, abstention included; routes fail on their own."""
+    rows = ["OCC", "CCO", "CCO.Cl", "F[C@H](Cl)Br", "F[C@@H](Cl)Br", "O=C1NC=CC=C1", "OC1=NC=CC=C1", "not-a-smiles", "", None, "F/C=C/F", "CCO", "C" * 230]
+    k = {r.smiles: r for r in smiles.with_keys(spark.createDataFrame([(x,) for x in rows], "smiles string")).collect()}
+    assert smiles.with_keys(spark.createDataFrame([(x,) for x in rows], "smiles string")).count() == len(rows)
+    assert k["OCC"].canonical == k["CCO"].canonical and k["OCC"].bits == k["CCO"].bits
+    assert k["CCO.Cl"].canonical != k["CCO"].canonical and k["CCO.Cl"].parent == k["CCO"].parent
+    a, b = k["F[C@H](Cl)Br"], k["F[C@@H](Cl)Br"]
+    assert a.canonical != b.canonical and a.stereo == b.stereo and a.identifier != b.identifier and a.identifier.split("-")[0] == b.identifier.split("-")[0]
+    a, b = k["O=C1NC=CC=C1"], k["OC1=NC=CC=C1"]
+    assert a.canonical != b.canonical and a.tautomer == b.tautomer and a.identifier == b.identifier
+    assert all(k[x][c] is None for x in ("not-a-smiles", "", None) for c in (*smiles.KEYS, "bits"))
+    # a route that fails abstains, and no other route stands in for it
+    assert k["F/C=C/F"].canonical is None and k["F/C=C/F"].stereo is not None
+    assert k["C" * 230].tautomer is None and k["C" * 230].canonical is not None
+
+
+def test_a_failing_route_abstains_alone(monkeypatch):
+    def broken(*_):
+        raise ValueError
+
+    good = smiles.canonical("C[C@H](N)O")
+    monkeypatch.setattr(smiles, "parse", broken)
+    assert smiles.stereo("F[C@H](Cl)I") is None and smiles.parent("CCI") is None and smiles.tautomer("CCI") is None and good
+
+
+def test_fingerprints_and_graphs(spark):
+    for a, b in (("OCC", "CCO"), ("c1(C)ccccc1", "Cc1ccccc1"), ("F[C@H](Cl)Br", "F[C@@H](Cl)Br")):
+        assert smiles.on_bits(a) == smiles.on_bits(b)
+    # methane has one environment, ethane one atom kind and one of the shared bond
+    assert len(smiles.on_bits("C")) == 1 and len(smiles.on_bits("CC")) == 2
+    assert set(smiles.on_bits("CCCC", radius=1)) < set(smiles.on_bits("CCCC")) or smiles.on_bits("CCCC", radius=1) == smiles.on_bits("CCCC")
+    assert smiles.on_bits("x") is None and all(0 <= i < 2048 for i in smiles.on_bits("CC(=O)Oc1ccccc1C(=O)O"))
+    assert smiles.graph("CCO") == (["C", "C", "O"], [(0, 1), (1, 0), (1, 2), (2, 1)]) and smiles.graph("?") == (["?"], [])
+    assert smiles.formula("CCO") == "C2H6O" and smiles.formula("c1ccccc1") == "C6H6" and smiles.formula("x") is None
+
+
 def test_text_keys(spark):
     d = spark.createDataFrame([(1, "  The cat,  sat "), (2, "the cat, sat"), (3, "sat cat, the"), (4, "The cat sat!\nx"), (5, "   "), (6, ""), (7, None)], "id int, text string")
     k = {r.id: r for r in with_keys(d).collect()}
