@@ -36,12 +36,10 @@ def token_hash(token: Column) -> Column:
 
 def minhash(tokens: Column, size: int) -> Column:
     """Signature of a token set by `size` linear functions modulo a prime; zeros for an empty set."""
-    h = F.transform(tokens, token_hash)
-
-    def place(i: int) -> Column:
-        return F.array_min(F.transform(h, lambda v: (F.lit(STEP * i) * v + SHIFT * i) % PRIME))
-
-    sig = F.array(*[place(i) for i in range(1, size + 1)])
+    places = F.sequence(F.lit(1).cast("bigint"), F.lit(size).cast("bigint"))
+    # the hashes are bound to a variable, so they are made once and not for each place
+    sign = lambda h: F.transform(places, lambda i: F.array_min(F.transform(h, lambda v: (i * STEP * v + i * SHIFT) % PRIME)))
+    sig = F.get(F.transform(F.array(F.transform(tokens, token_hash)), sign), 0)
     return F.when(F.size(tokens) > 0, sig).otherwise(F.array_repeat(F.lit(0).cast("bigint"), size))
 
 

@@ -27,9 +27,9 @@ def injection(hits: DataFrame, *by: str) -> DataFrame:
 
 
 def decoy_adjusted(cells: DataFrame, keys: list[str], relation: str = "relation", decoy: str = "decoy") -> DataFrame:
-    """Cells of the other relations with the decoy cell's recall as false-positive proxy (0 where missing), and net recalls."""
-    proxy = cells.where(F.col(relation) == decoy).select(*keys, F.col("injection_recall").alias("decoy_fp"))
-    d = cells.where(F.col(relation) != decoy).join(proxy, keys, "left").withColumn("decoy_fp", F.coalesce("decoy_fp", F.lit(0.0)))
+    """Cells of the other relations with the decoy cell's recall as false-positive proxy (0 where missing), and net recalls. One window, so cells are computed once."""
+    proxy = F.max(F.when(F.col(relation) == decoy, F.col("injection_recall"))).over(Window.partitionBy(*keys))
+    d = cells.withColumn("decoy_fp", F.coalesce(proxy, F.lit(0.0))).where(F.col(relation) != decoy)
     return d.withColumn("net_recall", F.col("injection_recall") - F.col("decoy_fp")).withColumn("net_changed_recall", F.col("changed_only_recall") - F.col("decoy_fp"))
 
 
@@ -62,14 +62,16 @@ def scenarios(d: DataFrame, flags: dict[str, Column]) -> DataFrame:
     return d.withColumn("scenario", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]))))
 
 
-def exposure(queries: DataFrame, indexes: dict[str, DataFrame], id_: str) -> DataFrame:
-    """queries with `exposure`: the first relation whose key an index holds, in the order given, else none."""
-    d = queries
-    for name, keys in indexes.items():
-        seen = keys.where(F.col("key").isNotNull()).select(F.col("key").alias(f"__k_{name}")).distinct()
-        d = d.join(seen, F.col(name) == F.col(f"__k_{name}"), "left")
-    label = F.coalesce(*[F.when(F.col(f"__k_{n}").isNotNull(), F.lit(n)) for n in indexes], F.lit("none"))
-    return d.withColumn("exposure", label).drop(*[f"__k_{n}" for n in indexes])
+def exposure(queries: DataFrame, keys: DataFrame, order: tuple[str, ...], ids: list[str]) -> DataFrame:
+    """(ids, exposure) of queries (ids, detector, key): the first relation whose key the corpus' (detector, key) rows hold, else none.
+
+    The corpus is read once for all relations; only keys that are asked for go on.
+    """
+    seen = keys.join(queries.select("detector", "key").distinct(), ["detector", "key"], "left_semi").distinct()
+    d = queries.join(seen.withColumn("seen", F.lit(True)).select("detector", "key", "seen"), ["detector", "key"], "left")
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("detector"))
+    d = d.groupBy(*ids).agg(F.min(F.when(F.col("seen"), place)).alias("first"))
+    return d.select(*ids, F.coalesce(F.try_element_at(F.array(*map(F.lit, order)), F.col("first").cast("int")), F.lit("none")).alias("exposure"))
 
 
 def shares_by_label(d: DataFrame, by: str, label: str, labels: list[str]) -> DataFrame:

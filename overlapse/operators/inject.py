@@ -28,11 +28,15 @@ def variants(queries: DataFrame, id_: str, text: str, relations: tuple[str, ...]
 
 def decoys(queries: DataFrame, pool: DataFrame, id_: str, text: str, seed: int = 0) -> DataFrame:
     """(sample_id, decoy): of the pool's rows of the nearest length (the shorter on equal distance), one by hash, with replacement."""
-    lengths = pool.select(F.length(text).alias("len")).distinct()
-    wanted = queries.select(F.length(text).alias("want")).distinct()
-    # lengths are few: integers up to the longest query
-    near = wanted.join(F.broadcast(lengths), F.lit(True)).groupBy("want").agg(F.min_by("len", F.struct(F.abs(F.col("len") - F.col("want")), "len")).alias("len"))
-    ranked = pool.select(F.col(text).alias("decoy"), F.length(text).alias("len"), id_)
+    lengths = pool.select(F.length(text).alias("at"), F.lit(True).alias("there")).distinct()
+    wanted = queries.select(F.length(text).alias("at"), F.lit(False).alias("there")).distinct()
+    # one row a length, both ways to the next that is there; lengths are integers up to the longest text
+    w = Window.orderBy("at")
+    have = F.when(F.col("there"), F.col("at"))
+    low, high = F.last(have, True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.first(have, True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    near = lengths.union(wanted).select("at", "there", low.alias("low"), high.alias("high")).where("not there")
+    near = near.select(F.col("at").alias("want"), F.when((F.col("at") - F.col("low") <= F.col("high") - F.col("at")) | F.col("high").isNull(), F.col("low")).otherwise(F.col("high")).alias("len"))
+    ranked = pool.select(F.col(text).alias("decoy"), F.length(text).alias("len"), id_).join(near.select("len").distinct(), "len", "left_semi")
     w = Window.partitionBy("len")
     ranked = ranked.withColumn("n", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy(id_)) - 1)
     sizes = ranked.groupBy("len").agg(F.max("n").alias("n"))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overlapse.functions.scalars import PRIVACY, detector_family, expected_detector, minhash, privacy_flags, stable_key
-from overlapse.functions.text_keys import NORMALISERS, ROUTES, long_keys, sentences, shingles, with_keys
+from overlapse.functions.text_keys import NORMALISERS, ROUTES, hashed, key_hash, long_keys, sentences, shingles, with_keys
 from overlapse.operators import audit, detect, inject, report, selection
-from overlapse.sources.readers import keyword_flags, table
+from overlapse.sources.readers import keyword_flags, spread, table
 
 DOC, BENCH = "documents", "benchmark"
 
@@ -47,8 +47,11 @@ def _task(c: str = "item_id") -> Column:
 
 def key_index(spark: SparkSession, d: str) -> DataFrame:
     """FN-01..06, AG-01, AG-37: per detector, rows, distinct keys, the most frequent, and an estimate of the index's size."""
-    index = detect.key_index(long_keys(with_keys(table(spark, d, DOC).select("doc_id", "text")), ["doc_id"]))
-    return index.groupBy("detector").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"), F.max("n").alias("most"), F.sum(F.octet_length("key") + 16).alias("index_bytes"))
+    keys = with_keys(spread(table(spark, d, DOC).select("text")))
+    rows = F.explode(F.array(*[F.struct(F.lit(r).alias("detector"), key_hash(F.col(r)).alias("key"), F.octet_length(r).alias("size")) for r in ROUTES])).alias("x")
+    long = keys.select(rows).select("x.*").where("key is not null")
+    index = long.groupBy("detector", "key").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    return index.groupBy("detector").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"), F.max("n").alias("most"), F.sum(F.col("size") + 16).alias("index_bytes"))
 
 
 O_KEY_INDEX = f"""
@@ -57,17 +60,17 @@ i AS (SELECT x.d AS detector, x.k AS key, count(*) AS n FROM l WHERE x.k IS NOT
 SELECT detector, sum(n)::BIGINT AS n_rows, count(*) AS n_keys, max(n) AS most, sum(strlen(key) + 16)::BIGINT AS index_bytes FROM i GROUP BY detector"""
 
 
-def _unit_keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = sentences(table(spark, d, DOC), "text", ["doc_id"])
-    bench = sentences(table(spark, d, BENCH), "text", ["item_id"]).withColumn("task", _task())
-    keyed = lambda x, ids: long_keys(with_keys(x, "unit"), ids)
-    return keyed(docs, ["doc_id"]), keyed(bench, ["task", "item_id", "unit"])
+def _unit_keys(spark: SparkSession, d: str, routes: tuple[str, ...] = ROUTES) -> tuple[DataFrame, DataFrame]:
+    docs = sentences(spread(table(spark, d, DOC)), "text", ["doc_id"])
+    bench = sentences(table(spark, d, BENCH), "text", ["item_id"]).select(_task().alias("task"), F.monotonically_increasing_id().alias("row"), "unit")
+    keyed = lambda x, ids: long_keys(with_keys(x, "unit", routes), ids, routes)
+    return keyed(docs, ["doc_id"]), keyed(bench, ["task", "row"])
 
 
 def background_hits(spark: SparkSession, d: str) -> DataFrame:
     """JN-07, AG-02: sentences of benchmark items probed against those of the documents."""
     docs, bench = _unit_keys(spark, d)
-    return rounded(audit.background(detect.probe(bench, detect.key_index(docs)), "task", "detector"))
+    return rounded(audit.background(detect.probe(bench, docs), "task", "detector"))
 
 
 O_BACKGROUND = f"""
@@ -80,7 +83,7 @@ SELECT task, detector, count(*) AS n_queries, round(avg((n > 0)::INT::DOUBLE), 8
 
 def passage_containment(spark: SparkSession, d: str) -> DataFrame:
     """SRC-08, JN-08: benchmark passages that lie within documents."""
-    return detect.containment(table(spark, d, DOC), table(spark, d, BENCH), "doc_id", "item_id")
+    return detect.containment(spread(table(spark, d, DOC)), table(spark, d, BENCH), "doc_id", "item_id")
 
 
 CAN = duck_keys("text")["canonical"]
@@ -89,10 +92,9 @@ O_CONTAINMENT = f"SELECT doc_id, item_id FROM (SELECT doc_id, {CAN} AS t FROM do
 
 def exposure_by_task(spark: SparkSession, d: str) -> DataFrame:
     """JN-11, AG-23: the first relation by which a benchmark sentence is in the documents, per task."""
-    docs = with_keys(sentences(table(spark, d, DOC), "text", ["doc_id"]), "unit")
-    bench = with_keys(sentences(table(spark, d, BENCH), "text", ["item_id"]).withColumn("task", _task()), "unit")
     order = ("canonical", "parent", "stereo", "tautomer", "scaffold")
-    seen = audit.exposure(bench, {r: docs.select(F.col(r).alias("key")) for r in order}, "item_id")
+    docs, bench = _unit_keys(spark, d, order)
+    seen = audit.exposure(bench, docs, order, ["task", "row"])
     return rounded(audit.shares_by_label(seen, "task", "exposure", [*order, "none"]))
 
 
@@ -107,7 +109,7 @@ HASH = lambda x, seed=0: f"(('0x' || substr(sha256('{seed}:' || {x}), 1, 16))::U
 
 def scaffold_split(spark: SparkSession, d: str) -> DataFrame:
     """WN-01, WN-02, FN-21: whole sources to train, val and test."""
-    s = selection.group_split(table(spark, d, DOC).select("doc_id", "source"), "source")
+    s = selection.group_split(spread(table(spark, d, DOC).select("doc_id", "source")), "source")
     return s.groupBy("source", "split").agg(F.count("*").alias("n"))
 
 
@@ -120,7 +122,7 @@ SELECT source, n, CASE WHEN last = 1 AND m > 1 AND (SELECT count(*) FROM s WHERE
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, DOC).select("doc_id", "n_chars", "lang").join(table(spark, d, "labels"), "doc_id")
+    return spread(table(spark, d, DOC).select("doc_id", "n_chars", "lang")).join(table(spark, d, "labels"), "doc_id")
 
 
 def affected_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +159,7 @@ SELECT draw, item_id FROM i JOIN b ON r = floor({HASH('draw')} * (SELECT count(*
 
 def ordered_dedup(spark: SparkSession, d: str) -> DataFrame:
     """WN-09, SRC-01: the first document of each canonical text."""
-    docs = with_keys(table(spark, d, DOC).select("doc_id", "text"), routes=("canonical",)).where("canonical is not null")
+    docs = with_keys(spread(table(spark, d, DOC).select("doc_id", "text")), routes=("canonical",)).where("canonical is not null")
     return selection.first_occurrence(docs, "canonical", "doc_id").select("doc_id")
 
 
@@ -167,7 +169,7 @@ O_DEDUP = f"SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, {CAN} AS c FROM do
 def unseen_sentences(spark: SparkSession, d: str) -> DataFrame:
     """FLT-08, SO-02, SO-03: distinct benchmark sentences that no document holds."""
     b = sentences(table(spark, d, BENCH), "text", ["item_id"]).select("unit").distinct()
-    return selection.excluding(b, sentences(table(spark, d, DOC), "text", ["doc_id"]), "unit")
+    return selection.excluding(b, sentences(spread(table(spark, d, DOC)), "text", ["doc_id"]), "unit")
 
 
 O_UNSEEN = f"SELECT DISTINCT unit FROM ({duck_sentences('benchmark', 'item_id')}) WHERE unit NOT IN (SELECT unit FROM ({duck_sentences('documents', 'doc_id')}))"
@@ -176,7 +178,7 @@ O_UNSEEN = f"SELECT DISTINCT unit FROM ({duck_sentences('benchmark', 'item_id')}
 def _injected(spark: SparkSession, d: str) -> DataFrame:
     """Queries with their injected text per relation, decoys among them."""
     bench = table(spark, d, BENCH)
-    pool = sentences(table(spark, d, DOC), "text", ["doc_id"]).groupBy("unit").agg(F.min("doc_id").alias("item_id")).select("item_id", F.col("unit").alias("text"))
+    pool = sentences(spread(table(spark, d, DOC)), "text", ["doc_id"]).groupBy("unit").agg(F.min("doc_id").alias("item_id")).select("item_id", F.col("unit").alias("text"))
     pool = pool.withColumn("item_id", F.concat_ws("|", "item_id", "text"))
     v = inject.variants(bench, "item_id", "text")
     decoy = inject.decoys(bench, pool, "item_id", "text").select("sample_id", F.lit("decoy").alias("relation"), F.col("decoy").alias("variant"))
@@ -187,11 +189,11 @@ def _injected_cells(spark: SparkSession, d: str) -> DataFrame:
     """Injection metrics per (task, relation, detector), decoy-adjusted."""
     x = _injected(spark, d)
     bench = x.withColumn("task", _task("sample_id"))
-    q = bench.withColumns({f"q_{r}": NORMALISERS[r](F.col("text")) for r in ROUTES} | {f"t_{r}": NORMALISERS[r](F.col("variant")) for r in ROUTES})
+    q = hashed(hashed(with_keys(with_keys(bench, "text", prefix="q_"), "variant", prefix="t_"), tuple(f"q_{r}" for r in ROUTES)), tuple(f"t_{r}" for r in ROUTES))
     q = q.withColumn("changed", F.col("q_canonical") != F.col("t_canonical"))
     rows = F.explode(F.array(*[F.struct(F.lit(r).alias("detector"), F.col(f"q_{r}").alias("key"), F.coalesce(F.col(f"q_{r}") == F.col(f"t_{r}"), F.lit(False)).alias("hit"), F.lit(i).alias("rank")) for i, r in enumerate(ROUTES)])).alias("x")
     long = q.select("task", "sample_id", "relation", "changed", rows).select("task", "sample_id", "relation", "changed", "x.*").where("key is not null")
-    docs = detect.key_index(long_keys(with_keys(table(spark, d, DOC).select("doc_id", "text")), ["doc_id"]))
+    docs = long_keys(with_keys(spread(table(spark, d, DOC).select("doc_id", "text"))), ["doc_id"])
     hits = detect.probe(long, docs).withColumn("clean_hit", F.col("n") > 0)
     cells = audit.injection(hits, "task", "relation", "detector", "rank")
     return audit.decoy_adjusted(cells, ["task", "detector"])
@@ -264,10 +266,10 @@ SELECT relation, count(*) AS cells, round(avg(g), 8) AS mean_gain, round(avg(coa
 
 def scenario_summary(spark: SparkSession, d: str) -> DataFrame:
     """FLT-09, AG-09: recall by scenario of the query; scenarios overlap."""
-    x = _injected(spark, d)
-    flags = {"semantic": F.col("relation").isin("parent", "stereo", "tautomer"), "long": F.length("text") > 250, "short": F.length("text") <= 150, "many_words": F.size(F.split("text", " ")) > 40, "changed": NORMALISERS["canonical"](F.col("text")) != NORMALISERS["canonical"](F.col("variant")), "decoy": F.col("relation") == "decoy"}
+    x = with_keys(with_keys(_injected(spark, d), "text", prefix="q_"), "variant", prefix="t_")
+    flags = {"semantic": F.col("relation").isin("parent", "stereo", "tautomer"), "long": F.length("text") > 250, "short": F.length("text") <= 150, "many_words": F.size(F.split("text", " ")) > 40, "changed": F.col("q_canonical") != F.col("t_canonical"), "decoy": F.col("relation") == "decoy"}
     s = audit.scenarios(x, flags)
-    rows = [F.avg(F.coalesce(NORMALISERS[r](F.col("text")) == NORMALISERS[r](F.col("variant")), F.lit(False)).cast("double")).alias(f"recall_{r}") for r in ROUTES]
+    rows = [F.avg(F.coalesce(F.col(f"q_{r}") == F.col(f"t_{r}"), F.lit(False)).cast("double")).alias(f"recall_{r}") for r in ROUTES]
     return rounded(s.groupBy("scenario").agg(F.count("*").alias("n"), *rows))
 
 
@@ -279,7 +281,7 @@ SELECT scenario, count(*) AS n, {', '.join(f'round(avg(coalesce(q_{r} = t_{r}, f
 
 def _requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     bench = table(spark, d, BENCH)
-    background = sentences(table(spark, d, DOC), "text", ["doc_id"]).groupBy("unit").agg(F.min("doc_id").alias("k"))
+    background = sentences(spread(table(spark, d, DOC)), "text", ["doc_id"]).groupBy("unit").agg(F.min("doc_id").alias("k"))
     background = background.select(F.xxhash64("unit").alias("idx"), F.col("unit").alias("text"))
     v = inject.variants(bench, "item_id", "text")
     v = v.select((F.col("sample_id") * 4 + F.expr("array_position(array('exact','parent','stereo','tautomer'), relation)")).alias("request"), F.col("sample_id").cast("string").alias("sample_id"), "relation", F.lit(1).alias("dose"), F.lit(0).alias("rep"), F.col("variant").alias("text"))
@@ -304,49 +306,48 @@ def decoy_pick(spark: SparkSession, d: str) -> DataFrame:
 O_DECOYS = f"WITH {_V} SELECT item_id AS sample_id, variant FROM v WHERE relation = 'decoy'"
 
 
-def _sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    b = sentences(table(spark, d, BENCH), "text", ["item_id"]).groupBy("item_id").agg(F.min("unit").alias("unit"))
-    a = sentences(table(spark, d, DOC), "text", ["doc_id"]).groupBy("unit").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.min("unit").alias("unit"))
-    return b.select("item_id", shingles(F.col("unit")).alias("shingles")), a.select("doc_id", shingles(F.col("unit")).alias("shingles"))
+def _nearest(spark: SparkSession, d: str, size: int = 128) -> DataFrame:
+    q, c = sentences(table(spark, d, BENCH), "text", ["item_id"]), sentences(spread(table(spark, d, DOC)), "text", ["doc_id"])
+    return rounded(detect.nearest_of_all(q, c, "item_id", size))
 
 
 def shingle_tanimoto_max(spark: SparkSession, d: str) -> DataFrame:
-    """FN-15, FN-20, JN-09: the greatest similarity of each item's sentence with one of a document."""
-    q, c = _sets(spark, d)
-    return rounded(detect.nearest_by_sets(q, c, "item_id", "doc_id"))
+    """FN-15, FN-20, JN-09: the greatest similarity of an item's sentences with one of the documents', and how many of these share a shingle."""
+    return _nearest(spark, d, 0).select("item_id", "best", "n_share")
 
 
 SHINGLE = "CASE WHEN length(unit) <= 3 THEN [unit] ELSE list_distinct(list_transform(range(1, length(unit) - 1), lambda i: substr(unit, i, 3))) END"
-_SETS = f"""b AS (SELECT item_id, {SHINGLE} AS g FROM (SELECT item_id, min(unit) AS unit FROM ({duck_sentences('benchmark', 'item_id')}) GROUP BY item_id)),
-a AS (SELECT doc_id, {SHINGLE} AS g FROM (SELECT doc_id, min(unit) AS unit FROM (SELECT min(doc_id) AS doc_id, unit FROM ({duck_sentences('documents', 'doc_id')}) GROUP BY unit) GROUP BY doc_id))"""
-O_TANIMOTO = f"""WITH {_SETS}, p AS (SELECT item_id, doc_id, len(b.g) AS nb, len(a.g) AS na, len(list_intersect(a.g, b.g)) AS n FROM a, b)
-SELECT item_id, round(max(n / (na + nb - n)::DOUBLE), 8) AS best, count(*) AS n_share FROM p WHERE n > 0 GROUP BY item_id"""
+_SETS = f"""b AS (SELECT row_number() OVER () AS bi, item_id, {SHINGLE} AS g FROM (SELECT DISTINCT item_id, unit FROM ({duck_sentences('benchmark', 'item_id')}))),
+a AS (SELECT row_number() OVER () AS ai, {SHINGLE} AS g FROM (SELECT DISTINCT unit FROM ({duck_sentences('documents', 'doc_id')})))"""
+O_TANIMOTO = f"""WITH {_SETS}, x AS (SELECT bi, unnest(g) AS s FROM b), y AS (SELECT ai, unnest(g) AS s FROM a), p AS (SELECT bi, ai, count(*) AS n FROM x JOIN y USING (s) GROUP BY ALL)
+SELECT item_id, round(max(n / (len(b.g) + len(a.g) - n)::DOUBLE), 8) AS best, count(DISTINCT ai) AS n_share FROM p JOIN b USING (bi) JOIN a USING (ai) GROUP BY item_id"""
 
 
 def minhash_max(spark: SparkSession, d: str) -> DataFrame:
-    """FN-18, FN-19, JN-10: the greatest agreement of signatures of 16 places."""
-    q, c = _sets(spark, d)
-    return rounded(detect.nearest_by_minhash(q, c, "item_id", "doc_id", 16))
+    """FN-18, FN-19, JN-10: the greatest agreement of signatures of 128 places of an item's sentences with one of the documents'."""
+    return _nearest(spark, d).select("item_id", F.col("best_minhash").alias("best"))
 
 
-_SIG = "list_transform(range(1, 17), lambda i: list_min(list_transform(list_transform(g, lambda t: (('0x' || substr(md5(t), 1, 8))::BIGINT) % 2147483647), lambda v: (48271 * i * v + 11 * i) % 2147483647)))"
-O_MINHASH = f"""WITH {_SETS}, x AS (SELECT item_id, {_SIG} AS s FROM b), y AS (SELECT doc_id, {_SIG} AS s FROM a)
-SELECT item_id, round(max(list_sum(list_transform(range(1, 17), lambda i: (x.s[i] = y.s[i])::INT))) / 16.0::DOUBLE, 8) AS best FROM x, y GROUP BY item_id"""
+_H = lambda g: f"list_transform({g}, lambda t: (('0x' || substr(md5(t), 1, 8))::BIGINT) % 2147483647)"
+_SIG = lambda h: f"list_transform(range(1, 129), lambda i: list_min(list_transform({h}, lambda v: (48271 * i * v + 11 * i) % 2147483647)))"
+O_MINHASH = f"""WITH {_SETS}, bh AS (SELECT item_id, bi, {_H('g')} AS h FROM b), ah AS (SELECT ai, {_H('g')} AS h FROM a),
+x AS (SELECT item_id, bi, unnest({_SIG('h')}) AS v, unnest(range(128)) AS k FROM bh), y AS (SELECT ai, unnest({_SIG('h')}) AS v, unnest(range(128)) AS k FROM ah),
+p AS (SELECT item_id, bi, ai, count(*) AS n FROM x JOIN y USING (k, v) GROUP BY ALL)
+SELECT item_id, round(coalesce(max(n), 0) / 128.0::DOUBLE, 8) AS best FROM (SELECT DISTINCT item_id FROM b) LEFT JOIN p USING (item_id) GROUP BY item_id"""
 
 
 def nearest_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """FN-15, FN-18, FN-20, JN-09, JN-10: shingle_tanimoto_max and minhash_max over every sentence of items and documents, with signatures of 128 places."""
-    q, c = sentences(table(spark, d, BENCH), "text", ["item_id"]), sentences(table(spark, d, DOC), "text", ["doc_id"])
-    return rounded(detect.nearest_of_all(q, c, "item_id"))
+    """FN-15, FN-18, FN-20, JN-09, JN-10: both of the above in one search."""
+    return _nearest(spark, d)
 
 
 def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
-    """FN-16, FN-18: signatures of the benchmark's shingle sets."""
-    q, _ = _sets(spark, d)
-    return q.select("item_id", F.array_join(minhash(F.col("shingles"), 4), ",").alias("signature"))
+    """FN-16, FN-18: signatures of 128 places of every distinct sentence of the benchmark."""
+    q = sentences(table(spark, d, BENCH), "text", ["item_id"]).select("item_id", "unit").distinct()
+    return q.select("item_id", "unit", F.array_join(minhash(shingles(F.col("unit")), 128), ",").alias("signature"))
 
 
-O_SIGNATURE = f"WITH {_SETS} SELECT item_id, array_to_string(({_SIG})[1:4], ',') AS signature FROM b"
+O_SIGNATURE = f"SELECT DISTINCT item_id, unit, array_to_string({_SIG('h')}, ',') AS signature FROM (SELECT *, {_H(SHINGLE)} AS h FROM ({duck_sentences('benchmark', 'item_id')}))"
 
 
 def bundle_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -356,24 +357,23 @@ def bundle_hits(spark: SparkSession, d: str) -> DataFrame:
     return rounded(hits.groupBy("relation", "method").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("hit_rate")))
 
 
-_SIG8 = lambda g: f"list_transform(range(1, 9), lambda i: list_min(list_transform(list_transform({g}, lambda t: (('0x' || substr(md5(t), 1, 8))::BIGINT) % 2147483647), lambda v: (48271 * i * v + 11 * i) % 2147483647)))"
 _M = {
     "raw_identity": "raw", "canonical_identity": "canonical", "parent_identity": "parent", "stereo_identity": "stereo", "tautomer_identity": "tautomer", "scaffold": "scaffold", "similarity_60": "sim >= 0.6", "similarity_70": "sim >= 0.7", "similarity_80": "sim >= 0.8", "similarity_90": "sim >= 0.9",
-    "cluster": "scaffold OR sim >= 0.7", "audit_bundle": "canonical OR stereo OR scaffold OR sim >= 0.8", "curation_bundle": "canonical OR raw OR scaffold OR sim >= 0.8", "minhash_50": "agree >= 0.5", "minhash_80": "agree >= 0.8", "typed_certificate": "canonical OR parent OR stereo OR tautomer", "superparent": "super",
+    "cluster": "scaffold OR sim >= 0.7", "audit_bundle": "canonical OR stereo OR scaffold OR sim >= 0.8", "curation_bundle": "canonical OR raw OR scaffold OR sim >= 0.8", "minhash_50": "agree >= 0.5", "minhash_80": "agree >= 0.8", "typed_certificate": "canonical OR parent OR stereo OR tautomer", "relation_lattice": "CASE relation WHEN 'parent' THEN parent WHEN 'stereo' THEN stereo WHEN 'tautomer' THEN tautomer ELSE canonical END", "superparent": "super",
 }
 _SUPER = lambda x: duck_keys(duck_keys(x)["stereo"])["tautomer"]
 O_BUNDLES = f"""WITH {_V}, k AS (SELECT item_id, relation, {duck_all('text', 'q_')}, {duck_all('variant', 't_')} FROM v),
 s AS (SELECT *, {SHINGLE.replace('unit', 'q_canonical')} AS qs, {SHINGLE.replace('unit', 't_canonical')} AS ts, {_SUPER('q_parent')} AS q_super, {_SUPER('t_parent')} AS t_super FROM k),
-g AS (SELECT *, {_SIG8('qs')} AS qh, {_SIG8('ts')} AS th FROM s),
+g AS (SELECT *, {_SIG(_H('qs'))} AS qh, {_SIG(_H('ts'))} AS th FROM s),
 m AS (SELECT relation, {', '.join(f'coalesce(q_{r} = t_{r}, false) AS {r}' for r in (*ROUTES, 'super'))}, len(list_intersect(qs, ts)) / len(list_distinct(list_concat(qs, ts)))::DOUBLE AS sim,
-  list_sum(list_transform(range(1, 9), lambda i: (qh[i] = th[i])::INT)) / 8.0::DOUBLE AS agree FROM g),
+  list_sum(list_transform(range(1, 129), lambda i: (qh[i] = th[i])::INT)) / 128.0::DOUBLE AS agree FROM g),
 u AS (SELECT relation, unnest([{', '.join(f"{{'m': '{n}', 'h': {e}}}" for n, e in _M.items())}]) AS x FROM m)
 SELECT relation, x.m AS method, count(*) AS n, round(avg(x.h::INT::DOUBLE), 8) AS hit_rate FROM u GROUP BY ALL"""
 
 
 def abstention(spark: SparkSession, d: str) -> DataFrame:
     """AG-24: routes that give no key, over document lines."""
-    rows = table(spark, d, DOC).select(F.explode(F.split("text", "\n")).alias("text"))
+    rows = spread(table(spark, d, DOC)).select(F.explode(F.split("text", "\n")).alias("text"))
     return rounded(audit.abstention(with_keys(rows), list(ROUTES)))
 
 
@@ -383,7 +383,7 @@ SELECT x.d AS route, count(*) AS n, count(*) FILTER (x.k IS NULL) AS n_abstained
 
 def path_stability(spark: SparkSession, d: str) -> DataFrame:
     """AG-25: do routes commute, and do they change on a second pass."""
-    docs = table(spark, d, DOC).select("text")
+    docs = spread(table(spark, d, DOC).select("text"))
     n, t = NORMALISERS, F.col("text")
     one = {"parent_stereo": (n["stereo"](n["parent"](t)), n["parent"](n["stereo"](t))), "stereo_tautomer": (n["tautomer"](n["stereo"](t)), n["stereo"](n["tautomer"](t))), "parent_twice": (n["parent"](t), n["parent"](n["parent"](t))), "tautomer_twice": (n["tautomer"](t), n["tautomer"](n["tautomer"](t)))}
     rows = [F.struct(F.lit(k).alias("path"), (a != b).alias("differs")) for k, (a, b) in one.items()]
@@ -450,7 +450,7 @@ O_CAP = "SELECT item_id FROM benchmark WHERE (SELECT count(*) FROM benchmark WHE
 
 def split_counts(spark: SparkSession, d: str) -> DataFrame:
     """AG-32: documents by language within each source, as text of a map."""
-    m = report.counts_map(table(spark, d, DOC), "lang", "source")
+    m = report.counts_map(spread(table(spark, d, DOC)), "lang", "source")
     return m.select("source", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("counts"))
 
 

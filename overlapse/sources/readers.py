@@ -43,6 +43,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, split: int = 128 << 20) -> DataFrame:
+    """df dealt over all cores where its files are less than a split a core; larger tables come in enough splits and stay as they are.
+
+    Small files often hold all rows in one row group, which one task reads. What this moves is bounded by cores times a split.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """CSV, or tab-separated by suffix; gzip by suffix."""
     bare = path.removesuffix(".gz")

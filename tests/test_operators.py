@@ -160,7 +160,7 @@ def test_nearest_sentences_see_every_sentence(spark, tmp_path):
         assert r.best == round(max(len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a in mine for b in corpus), 8)
         assert r.best_minhash == round(max(sum(x == y for x, y in zip(sign[a], sign[b], strict=True)) for a in mine for b in corpus) / 128, 8)
         assert r.n_share == sum(any(grams(a) & grams(b) for a in mine) for b in corpus)
-    tasks = detect.nearest_of_all(spark.createDataFrame(units(items), "item_id long, unit string"), spark.createDataFrame(units(docs), "doc_id long, unit string"), "item_id", block=1)
+    tasks = detect.nearest_of_all(spark.createDataFrame(units(items), "item_id long, unit string"), spark.createDataFrame(units(docs), "doc_id long, unit string"), "item_id", asked=1, block=1)
     assert {r.item_id: (round(r.best, 8), r.n_share) for r in tasks.collect()} == {k: (r.best, r.n_share) for k, r in got.items()}
 
 
