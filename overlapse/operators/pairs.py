@@ -120,7 +120,7 @@ def with_ppv(c: DataFrame, prevalences: tuple[float, ...] = (0.001, 0.01, 0.05,
 
 
 def confusion_matrix(d: DataFrame, gold: str, said: str, classes: list[str]) -> DataFrame:
-    return d.groupBy(gold).pivot(said, classes).agg(F.count("*")).fillna(0)
+    return d.groupBy(gold).pivot(said, classes).agg(F.count(F.lit(1))).fillna(0)
 
 
 def class_metrics(d: DataFrame, gold: str, said: str) -> DataFrame:

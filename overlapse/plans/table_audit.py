@@ -315,14 +315,20 @@ def _classes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", names.alias("gold"), said.alias("said"))
 
 
+CLASSES = ("click", "error", "purchase", "signup", "view")
+
+
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """AG-17, JN-22: counts of gold by predicted class, long form of the pivot."""
+    """AG-17, JN-22: gold pairs joined with predictions on id and class, one missing being its own class; counts as a pivot."""
     x = _classes(spark, d)
-    return x.groupBy("gold", "said").agg(F.count("*").alias("n"))
+    gold = x.select("event_id", "gold")
+    said = x.where("event_id % 7 <> 0")
+    j = gold.join(said, ["event_id", "gold"], "left").withColumn("said", F.coalesce("said", F.lit("missing")))
+    return rounded(pairs.confusion_matrix(j, "gold", "said", [*CLASSES, "none", "missing"]))
 
 
 C = "c AS (SELECT event_type AS gold, CASE WHEN event_id % 5 = 0 THEN 'none' ELSE event_type END AS said FROM events)"
-O_CONFUSION = f"WITH {C} SELECT gold, said, count(*) AS n FROM c GROUP BY ALL"
+O_CONFUSION = "WITH m AS (SELECT event_type AS gold, CASE WHEN event_id % 7 = 0 THEN 'missing' WHEN event_id % 5 = 0 THEN 'none' ELSE event_type END AS said FROM events) SELECT gold, " + ", ".join(f'count(*) FILTER (said = \'{c}\') AS "{c}"' for c in (*CLASSES, "none", "missing")) + " FROM m GROUP BY gold"
 
 
 def class_metrics(spark: SparkSession, d: str) -> DataFrame:

@@ -167,3 +167,97 @@ def test_nearest_sentences_see_every_sentence(spark, tmp_path):
 def test_two_level_draws_are_the_reference_s(spark):
     assert {r.draws for r in table_audit.two_level_bootstrap(spark, str(DATA)).collect()} == {2000}
     assert table_audit.global_bootstrap(spark, str(DATA)).first().draws == 2000
+
+
+def test_hashes(spark):
+    import hashlib
+
+    from overlapse.functions import hashes
+
+    d = spark.createDataFrame([(0, "a"), (1, "é"), (-5, ""), (None, None)], "x long, t string")
+    got = d.select("x", "t", hashes.split_mix(F.col("x")).alias("m"), hashes.token_number(F.col("t")).alias("n")).collect()
+    unsigned = lambda v: v % 2**64
+    assert unsigned(got[0].m) == 0xE220A8397B1DCDAF and got[3].m is None and got[3].n is None  # the generator's first number from 0
+    assert all(unsigned(r.n) == int.from_bytes(hashlib.blake2b(r.t.encode(), digest_size=8).digest(), "big") for r in got[:3])
+
+
+def test_jobs(spark, tmp_path):
+    from overlapse.operators import jobs
+
+    plan = jobs.grid(spark, ["a", "b"], ["clean", "parent_5x"], [0, 1])
+    (tmp_path / "a__clean__seed0.csv").write_text("there")
+
+    def work(task, condition, seed, path):
+        if task == "b" and seed == 1:
+            path.write_text("half")
+            raise OSError("no room")
+        path.write_text("whole")
+
+    got = {(r.task, r.condition, r.seed): r.status for r in jobs.run(plan, work, str(tmp_path), 2).collect()}
+    assert len(got) == 8 and got["a", "clean", 0] == "skipped" and got["b", "clean", 1] == "failed" and got["a", "parent_5x", 1] == "done"
+    assert (tmp_path / "a__clean__seed0.csv").read_text() == "there" and not (tmp_path / "b__clean__seed1.csv").exists()
+    assert jobs.heartbeat(plan, str(tmp_path), str(tmp_path / "s.json"))["finished"] == 6
+    assert jobs.cpu_budget(500) == 96 and jobs.cpu_budget() >= 1 and jobs.PRESETS["quick"]["draws"] == 200
+    a, b = jobs.seeded(3).random(), jobs.seeded(3).random()
+    assert a == b
+
+
+def test_catalogue(spark, tmp_path):
+    from overlapse.sources import catalogue
+
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "bbbp.csv").write_text("smiles,p_np\nOCC,1\nCCO,0\nbad,1\n,1\nCCN,\n")
+    (tmp_path / "BBBP.csv").write_text("smiles,p_np\nC,1\n")
+    t = {r.smiles: r for r in catalogue.load_task(spark, "bbbp", str(tmp_path)).collect()}
+    assert set(t) == {"OCC", "CCO"} and t["OCC"].canonical == t["CCO"].canonical and t["CCO"].task_type == "classification"
+    with pytest.raises(FileNotFoundError):
+        catalogue.load_task(spark, "hiv", str(tmp_path))
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "one.csv").write_text("sample_id,smiles,canonical,task,split,y\na,OCC,CCO,t,test,1\n")
+    (tmp_path / "s" / "two.csv").write_text("sample_id,smiles\nb,CCN\n")
+    q = {r.sample_id: r for r in catalogue.task_queries(spark, str(tmp_path / "s")).collect()}
+    assert q["a"].smiles == "CCO" and q["b"].smiles == "CCN" and q["b"].task == "two" and q["b"].split == ""
+    stored = spark.createDataFrame([("a", "OCC", "CCO", "stored parent", "", "")], "sample_id string, smiles string, canonical string, parent string, stereo_stripped string, scaffold string")
+    k = {r.detector: r.key for r in catalogue.stored_keys(stored).collect()}
+    assert k["parent"] == "stored parent" and "stereo" not in k and k["scaffold"] and k["tautomer"]
+    r = catalogue.records(spark.createDataFrame([(1, "t", "OCC"), (2, "t", "bad")], "n long, task string, text string"), "n", "task", "text").collect()
+    assert len(r) == 1 and r[0].formula == "C2H6O" and r[0].bits
+    (tmp_path / "p.tsv").write_text("l\tr\nOCC\tCCO\nO=C1NC=CC=C1\tOC1=NC=CC=C1\nx\tCCO\n")
+    assert [tuple(x) for x in catalogue.converted_pairs(spark, str(tmp_path / "p.tsv"), "l", "r").collect()] == [("O=C1NC=CC=C1", "OC1=NC=CC=C1")]
+    reg = spark.createDataFrame([(3, "C", "InChI=1S/C/t1", "K"), (1, "C", None, None), (2, None, None, "K"), (4, "N", "InChI=1S/N", "L")], "molregno long, canonical_smiles string, standard_inchi string, standard_inchi_key string")
+    ids = lambda **how: [x.molregno for x in catalogue.structures(reg, **how).collect()]
+    assert ids() == [1, 3, 4] and ids(need="key") == [3, 4] and ids(need="stereo") == [3] and ids(limit=2) == [1, 3]
+    assert catalogue.line_count(spark, str(tmp_path / "p.tsv")) == 4
+
+
+def test_random_writings():
+    for s in ("CCO", "Cc1ccncc1", "OC1=NC=CC=C1", "CC(N)C(=O)O.Cl", "C1CC1C(=O)N", "c1ccc2[nH]ccc2c1"):
+        forms = {smiles.random_form(s, k) for k in range(40)}
+        assert {smiles.canonical(f) for f in forms} == {smiles.canonical(s)}
+        assert len(forms) > 1 and smiles.random_form(s, 7) == smiles.random_form(s, 7)
+    assert smiles.random_form("no molecule", 3) == "no molecule"
+
+
+def test_unpack(tmp_path):
+    import io
+    import tarfile
+
+    def archive(name, **member):
+        with tarfile.open(tmp_path / "a.tgz", "w:gz") as t:
+            i = tarfile.TarInfo(name)
+            for k, v in member.items():
+                setattr(i, k, v)
+            i.size = 2 if i.isfile() else 0
+            t.addfile(i, io.BytesIO(b"hi"))
+        return writers.sha256_file(str(tmp_path / "a.tgz"))
+
+    pin = archive("in/file.txt")
+    with pytest.raises(ValueError):
+        writers.unpack(str(tmp_path / "a.tgz"), "0" * 64, str(tmp_path / "out"))
+    writers.unpack(str(tmp_path / "a.tgz"), pin, str(tmp_path / "out"))
+    assert (tmp_path / "out" / "in" / "file.txt").read_text() == "hi"
+    for name, how in (("../up", {}), ("/abs", {}), ("link", {"type": tarfile.SYMTYPE, "linkname": "x"})):
+        pin = archive(name, **how)
+        with pytest.raises(ValueError):
+            writers.unpack(str(tmp_path / "a.tgz"), pin, str(tmp_path / "out2"))
+    assert not (tmp_path / "out2").exists()

@@ -3,9 +3,9 @@
 import pytest
 from conftest import DATA, rows
 
-from overlapse.plans import molecules, table_audit, text_audit
+from overlapse.plans import molecules, registry_audit, table_audit, text_audit
 
-ALL = text_audit.QUERIES | table_audit.QUERIES | molecules.QUERIES
+ALL = text_audit.QUERIES | table_audit.QUERIES | molecules.QUERIES | registry_audit.QUERIES
 
 
 @pytest.mark.parametrize("name", [n for n, (_, o) in ALL.items() if o])
