@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,15 +49,17 @@ def decoys(queries: DataFrame, pool: DataFrame, id_: str, text: str, seed: int =
 
 def allocate(requests: list[int], buckets: dict[int, int]) -> list[int]:
     """The length taken for each request in turn: the nearest with rows left, the shorter on equal distance."""
-    left, out = Counter(buckets), []
+    left = Counter(buckets)
+    free = sorted(x for x, n in left.items() if n > 0)  # lengths with rows left
+    out = []
     for want in requests:
-        for d in range(max(left, default=0) + want + 1):
-            hit = next((x for x in (want - d, want + d) if left[x] > 0), None)
-            if hit is not None:
-                break
-        else:
+        if not free:
             raise ValueError("the background has no rows left")
+        at = bisect_left(free, want)
+        hit = min(free[max(0, at - 1) : at + 1], key=lambda x: (abs(x - want), x))
         left[hit] -= 1
+        if not left[hit]:
+            free.remove(hit)
         out.append(hit)
     return out
 
@@ -63,22 +67,23 @@ def allocate(requests: list[int], buckets: dict[int, int]) -> list[int]:
 def replace_background(background: DataFrame, injected: DataFrame, seed: int = 0) -> DataFrame:
     """The manifest of replacing rows of background(idx, text) by injected(request, sample_id, relation, dose, rep, text).
 
-    Which length each request takes depends only on lengths and counts, so that greedy pass runs over
-    integers on the driver (requests are the queries' own, a bounded table); which row of a length is
-    taken goes by hash rank, in a join.
+    Every relation and dose has a corpus of its own. Which length each of its requests takes depends only on
+    lengths and counts, so that greedy pass runs over integers, one task a corpus; which row of a length is
+    taken goes by hash rank, in a join. The numbers of rows by length, a row for each length there is, go to all tasks.
     """
-    asked = injected.select("request", F.length("text").alias("len")).orderBy("request").collect()
     counts = {r["len"]: r["n"] for r in background.groupBy(F.length("text").alias("len")).agg(F.count("*").alias("n")).collect()}
-    given = allocate([r["len"] for r in asked], counts)
-    rank: Counter = Counter()
-    rows = []
-    for r, length in zip(asked, given, strict=True):
-        rank[length] += 1
-        rows.append((r["request"], length, rank[length]))
-    plan = background.sparkSession.createDataFrame(rows, "request long, len int, rank int")
+
+    def plan(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("request", ignore_index=True)
+        p["len"] = allocate(list(p["want"]), counts)
+        p["rank"] = p.groupby("len").cumcount() + 1
+        return p[["relation", "dose", "request", "len", "rank"]]
+
+    kind = ", ".join(f"{c} {injected.schema[c].dataType.simpleString()}" for c in ("relation", "dose", "request"))
+    taken = injected.select("relation", "dose", "request", F.length("text").alias("want")).groupBy("relation", "dose").applyInPandas(plan, f"{kind}, len int, rank int")
     b = background.select("idx", F.col("text").alias("old"), F.length("text").alias("len"))
     b = b.withColumn("rank", F.row_number().over(Window.partitionBy("len").orderBy(stable_key(F.col("idx"), seed), "idx")))
-    m = plan.join(b, ["len", "rank"]).join(injected, "request")
+    m = taken.join(b, ["len", "rank"]).join(injected, ["relation", "dose", "request"])
     return m.select(
         "sample_id", "relation", "dose", "rep", F.col("idx").alias("background_index"), F.sha2("old", 256).alias("background_sha256"), F.col("len").alias("background_len"),
         F.sha2("text", 256).alias("injected_sha256"), F.col("text").alias("injected_text"), F.length("text").alias("injected_len"), (F.length("text") - F.col("len")).alias("length_delta"),
@@ -86,6 +91,6 @@ def replace_background(background: DataFrame, injected: DataFrame, seed: int = 0
 
 
 def contaminated(background: DataFrame, manifest: DataFrame) -> DataFrame:
-    """background with the manifest's rows in place."""
+    """background with the rows of one relation's and dose's manifest in place."""
     m = manifest.select(F.col("background_index").alias("idx"), "injected_text")
     return background.join(m, "idx", "left").select("idx", F.coalesce("injected_text", "text").alias("text"))

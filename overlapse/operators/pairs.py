@@ -17,6 +17,26 @@ def blocked_negatives(d: DataFrame, id_: str, block: str, admissible: Column, se
     return pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per).drop("n")
 
 
+def banded_negatives(d: DataFrame, id_: str, block: str, widths: dict[str, float], admissible: Column, seed: int = 0, per: int = 1) -> DataFrame:
+    """blocked_negatives with bands: rows meet only where every column of widths lies within its width.
+
+    Each column is cut into buckets of its width; a row meets its own bucket and those beside it, so rows
+    meet by equality of block and buckets and never all pairs of a block.
+    """
+    from itertools import product
+
+    cut = {c: F.floor(F.col(c) / w).cast("long") for c, w in widths.items()}
+    b = d.withColumns({f"__{c}": x for c, x in cut.items()})
+    steps = [F.struct(*[(cut[c] + i).alias(f"__{c}") for c, i in zip(widths, step, strict=True)]) for step in product((-1, 0, 1), repeat=len(widths))]
+    a = d.withColumn("__at", F.explode(F.array(*steps))).select("*", "__at.*").drop("__at")
+    on = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in (block, *[f"__{c}" for c in widths])]
+    near = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= w for c, w in widths.items()]
+    pairs = a.alias("a").join(b.alias("b"), [*on, *near, F.col(f"a.{id_}") != F.col(f"b.{id_}"), admissible])
+    pairs = pairs.select(F.col(f"a.{id_}").alias("query_id"), F.col(f"b.{id_}").alias("target_id"))
+    w = Window.partitionBy("query_id").orderBy(stable_key(F.concat_ws("|", "query_id", "target_id"), seed), "target_id")
+    return pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per).drop("n")
+
+
 def adjacent_pairs(d: DataFrame, group: str, order: list[str], id_: str, signature: str | None = None) -> DataFrame:
     """(group, a, b): neighbours in each group's order, with different signatures where one is given."""
     w = Window.partitionBy(group).orderBy(*order)

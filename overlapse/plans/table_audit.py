@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from overlapse.functions.scalars import as_bool, ci_text, decision_support, dose_of, effect_support, relation_of, seed_support
@@ -119,8 +119,6 @@ SELECT task, relation, dose, n, round(mean, 7) AS mean, round(sd, 7) AS sd, roun
 
 def task_top(spark: SparkSession, d: str) -> DataFrame:
     """TK-03, TK-07, AG-31: the three greatest effects of each task."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("task").orderBy(F.desc_nulls_last("did"), "relation", "dose", "seed")
     return rounded(_effects(spark, d).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("task", "rank", "relation", "dose", "seed", "did"))
 
@@ -344,9 +342,8 @@ SELECT cls, tp, support, said, round(tp / nullif(said, 0)::DOUBLE, 8) AS precisi
 
 def hard_negatives_band(spark: SparkSession, d: str) -> DataFrame:
     """JN-16, JN-17, FLT-06: for each part one other of its brand within a price and size band and of another type, by hash."""
-    p = table(spark, d, "part")
-    ok = (F.abs(F.col("a.p_retailprice") - F.col("b.p_retailprice")) <= 25) & (F.abs(F.col("a.p_size") - F.col("b.p_size")) <= 1) & (F.col("a.p_type") != F.col("b.p_type"))
-    return pairs.blocked_negatives(p, "p_partkey", "p_brand", ok)
+    ok = F.col("a.p_type") != F.col("b.p_type")
+    return pairs.banded_negatives(table(spark, d, "part"), "p_partkey", "p_brand", {"p_retailprice": 25.0, "p_size": 1.0}, ok)
 
 
 O_BAND = f"""SELECT query_id, target_id FROM (SELECT a.p_partkey AS query_id, b.p_partkey AS target_id FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND abs(a.p_retailprice - b.p_retailprice) <= 25 AND abs(a.p_size - b.p_size) <= 1 AND a.p_type <> b.p_type)
@@ -355,14 +352,8 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {HASH("query_id || '|'
 
 def high_similarity_negatives(spark: SparkSession, d: str) -> DataFrame:
     """JN-18, JN-19, TK-05: for each query vector the five most similar vectors of another label."""
-    from pyspark.sql import Window
-
-    e = table(spark, d, "embeddings")
-    v = e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("v").alias("qv"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    s = q.join(v, F.col("ql") != F.col("label")).withColumn("score", F.round(dot("qv", "v") / F.sqrt(dot("qv", "qv") * dot("v", "v")), 5))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 5").select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id")
+    c = detect.cosine_top(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, 5, 5, label="label")
+    return c.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("neighbour").alias("vec_id"))
 
 
 _DOT = lambda a, b: f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
@@ -370,12 +361,22 @@ _COS = f"{_DOT('a.embedding', 'b.embedding')} / sqrt({_DOT('a.embedding', 'a.emb
 O_SIMILAR = f"SELECT a.vec_id AS query_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 5) DESC, b.vec_id) AS rank, b.vec_id FROM embeddings a JOIN embeddings b ON a.label <> b.label WHERE a.vec_id % 50 = 0 QUALIFY rank <= 5"
 
 
+def similar_bands(spark: SparkSession, d: str) -> DataFrame:
+    """JN-18, JN-19, TK-05: negatives of another label at 0.90 and 0.80, at most 5 a query and 200 a band, the most similar first; a scan ends at its threshold."""
+    c = detect.cosine_top(table(spark, d, "embeddings"), F.col("vec_id") % 10 == 0, 5, 5, label="label", least=0.2)
+    both = c.select("query_id", "neighbour", "score", F.explode(F.array(F.lit(0.9), F.lit(0.8), F.lit(0.2))).alias("band")).where(F.col("score") >= F.col("band"))
+    w = Window.partitionBy("band").orderBy(F.desc("score"), "query_id", "neighbour")
+    return both.withColumn("n", F.row_number().over(w)).where("n <= 200").select("band", "query_id", "neighbour")
+
+
 def cosine_top1(spark: SparkSession, d: str) -> DataFrame:
     """JN-09 by cosine: the most similar other vector of each query vector."""
-    c = detect.cosine_nearest(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+    c = detect.cosine_top(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, 1, 6)
     return c.select("query_id", "neighbour", F.round("score", 4).alias("score"))
 
 
+O_BANDS = f"""WITH c AS (SELECT a.vec_id AS q, b.vec_id AS t, round({_COS}, 5) AS s FROM embeddings a JOIN embeddings b ON a.label <> b.label WHERE a.vec_id % 10 = 0), k AS (SELECT * FROM c WHERE s >= 0.2 QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, t) <= 5)
+SELECT band::DOUBLE AS band, q AS query_id, t AS neighbour FROM k, (SELECT unnest([0.9, 0.8, 0.2]) AS band) WHERE s >= band QUALIFY row_number() OVER (PARTITION BY band ORDER BY s DESC, q, t) <= 200"""
 O_COSINE = f"SELECT a.vec_id AS query_id, b.vec_id AS neighbour, round(round({_COS}, 6), 4) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 6) DESC, b.vec_id) = 1"
 
 
@@ -468,6 +469,6 @@ _ALL = (
     (did_by_seed, O_DID), (did_label_adjusted, O_LABEL), (pairing_check, O_PAIRING), (three_way, O_THREE), (minus_decoy, O_MINUS), (relation_pivot, O_PIVOT), (relation_unpivot, O_UNPIVOT), (quartile_summary, O_QUARTILES), (task_top, O_TOP), (global_top, O_GLOBAL),
     (relation_dose, O_RELDOSE), (meta_fixed_effect, O_META), (equivalence, O_EQUIVALENCE), (support_buckets, O_SUPPORT), (ols_affected, None), (slope_affected, O_SLOPE), (cluster_bootstrap, O_CLUSTER), (seed_bootstrap, O_SEED), (two_level_bootstrap, None), (global_bootstrap, None), (dispersion, None),
     (auroc, O_AUROC), (auprc, O_AUPRC), (auprc_ordered, O_AP), (threshold95, O_THRESHOLD), (pair_metrics, O_METRICS), (negative_breakdown, O_NEGATIVES), (task_metrics, O_TASK), (confusion_matrix, O_CONFUSION), (class_metrics, O_CLASSES), (hard_negatives_band, O_BAND), (high_similarity_negatives, O_SIMILAR),
-    (cosine_top1, O_COSINE), (registry_parent_pairs, O_PARENTS), (shared_assays, O_ASSAYS), (adjacent_stereo, O_ADJACENT), (disjoint_negatives, None), (systematic_sample, O_SYSTEMATIC), (condition_names, O_CONDITIONS), (planned_jobs, O_PLANNED), (checksum_audit, O_CHECKSUM), (readiness, O_READINESS),
+    (similar_bands, O_BANDS), (cosine_top1, O_COSINE), (registry_parent_pairs, O_PARENTS), (shared_assays, O_ASSAYS), (adjacent_stereo, O_ADJACENT), (disjoint_negatives, None), (systematic_sample, O_SYSTEMATIC), (condition_names, O_CONDITIONS), (planned_jobs, O_PLANNED), (checksum_audit, O_CHECKSUM), (readiness, O_READINESS),
 )
 QUERIES = {f.__name__: (f, o) for f, o in _ALL}

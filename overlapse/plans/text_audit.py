@@ -280,12 +280,12 @@ SELECT scenario, count(*) AS n, {', '.join(f'round(avg(coalesce(q_{r} = t_{r}, f
 
 
 def _requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    bench = table(spark, d, BENCH)
-    background = sentences(spread(table(spark, d, DOC)), "text", ["doc_id"]).groupBy("unit").agg(F.min("doc_id").alias("k"))
+    """The background, and a request for every item, relation (decoys among them), dose and repetition."""
+    background = sentences(spread(table(spark, d, DOC)), "text", ["doc_id"]).select("unit").distinct()
     background = background.select(F.xxhash64("unit").alias("idx"), F.col("unit").alias("text"))
-    v = inject.variants(bench, "item_id", "text")
-    v = v.select((F.col("sample_id") * 4 + F.expr("array_position(array('exact','parent','stereo','tautomer'), relation)")).alias("request"), F.col("sample_id").cast("string").alias("sample_id"), "relation", F.lit(1).alias("dose"), F.lit(0).alias("rep"), F.col("variant").alias("text"))
-    return background, v
+    v = _injected(spark, d).select("sample_id", "relation", F.col("variant").alias("text"), F.explode(F.array(*map(F.lit, inject.DOSES))).alias("dose"))
+    v = v.withColumn("rep", F.explode(F.sequence(F.lit(0), F.col("dose") - 1)))
+    return background, v.select((F.col("sample_id") * F.col("dose") + F.col("rep")).alias("request"), F.col("sample_id").cast("string").alias("sample_id"), "relation", "dose", "rep", "text")
 
 
 def variant_injection(spark: SparkSession, d: str) -> DataFrame:
