@@ -2,16 +2,18 @@
 
 Words are runs without white space, A-Z lower-cased; a text of fewer words than n has one n-gram of all
 its words. Band and row counts follow from the target recall at the threshold: the most rows a band whose
-hash budget still reaches it. Texts with the same n-gram set are one class of copies, stood for by its
-least doc_id, so copies are never paired. Classes that share a band hash are put together by the components
+hash budget still reaches it. Rows with the same n-gram set are one class of copies, stood for by its first
+row (by doc_id, nulls last, then by a hash of the text), so copies are never paired. A class is known by its
+n-gram set and by a number given as the classes are written; doc_id only names rows in the result. Classes that share a band hash are put together by the components
 of those meetings; within a component, blocks of bounded size meet in a grid, and each task computes the
 Jaccard similarity of its block's pairs from the full sets (counted per n-gram, never listed as pairs) and
 returns, for each class, how many documents it is linked to and its root in a forest over the links. So
 what is moved grows with classes and blocks and no link found is left out.
 
-Defined cases: null or empty texts, and rows without doc_id, have no n-gram set: they link to nothing and are
-a class of their own; doc_id names a document, and rows that repeat one with the same text count once more as
-copies; an empty table gives an empty result.
+Defined cases: null texts and texts without words have no n-gram set: they link to nothing, and class_id is
+their own doc_id. Rows without doc_id, and rows that share one with another text, are linked by their texts as
+all others are; where no row of linked ones has a doc_id, class_id is null. Repeated rows are copies, each
+counted. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overlapse.llm.common import connected, named, private, slices, written
+from overlapse.llm.common import WORD, connected, named, private, slices, written
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.995, 256
 BLOCK_DOCS, BLOCK_GRAMS = 512, 500_000
@@ -167,7 +169,7 @@ class Signer:
 
 
 def signatures(docs: DataFrame, n: int = N, bands: int = 29, rows: int = 8) -> DataFrame:
-    """doc_id, key (of the n-gram set), n_grams, bands."""
+    """doc_id, name (a hash of the text), key (of the n-gram set), n_grams, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
@@ -177,10 +179,11 @@ def signatures(docs: DataFrame, n: int = N, bands: int = 29, rows: int = 8) -> D
                 full = [s for s in sets if len(s)]
                 found = iter(signer.sign(full).view(np.int64).tolist() if full else ())
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.array([next(found) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "key", "n_grams", "bands"])
+                made = [pa.array(keys, pa.string()), pa.array([len(s) for s in sets], pa.int64()), pa.array([next(found) if len(s) else None for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("name"), *made], names=["doc_id", "name", "key", "n_grams", "bands"])
 
-    d = docs.select("doc_id", "text")
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, key string, n_grams long, bands array<long>")
+    d = docs.select("doc_id", F.md5("text").alias("name"), "text")
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, name string, key string, n_grams long, bands array<long>")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -241,34 +244,38 @@ def _block(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, thresho
     return links, root
 
 
-def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
-    """doc_id, class_id (least doc_id of the linked documents), n_links (documents linked to it), n_grams, for every row."""
+def _linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[DataFrame, DataFrame]:
+    """(signatures, classes): key, first row, n_links of each class, and top, the first row of the classes linked to it."""
     bands, rows = bands_and_rows(threshold, recall, hashes)
     sig = written(signatures(docs, n, bands, rows), "ngram-signatures")
-    kind = sig.schema["doc_id"].dataType.simpleString()
-    named = sig.where("key is not null and doc_id is not null")
-    heads = named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    heads = written(heads, "ngram-classes")
-    # the band hashes of the class, from its first document
-    one = named.join(heads, (named["doc_id"] == heads["rep"]) & (named["key"] == heads["key"])).select("rep", "bands").dropDuplicates(["rep"])
-    meets = written(one.select("rep", F.explode("bands").alias("bucket")), "ngram-buckets")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "name")
+    heads = sig.where("key is not null").groupBy("key").agg(F.min(row).alias("first"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    # the numbers differ from run to run, but are fixed once written and are not seen in the result
+    heads = written(heads.withColumn("rep", F.monotonically_increasing_id()), "ngram-classes")
+    meets = heads.select("rep", F.explode("bands").alias("bucket"))
     hubs = meets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
     edges = meets.join(hubs, "bucket").where("rep <> hub").select("rep", "hub").distinct()
     group = connected(edges, "rep", "hub").withColumnsRenamed({"id": "rep", "label": "part"})
-    sizes = named.select("key", "n_grams", "doc_id").join(heads, "key").where("doc_id = rep").select("rep", "n_grams", "copies").dropDuplicates(["rep"])
-    members = written(group.join(sizes, "rep"), "ngram-members")
+    members = written(group.join(heads.select("rep", "first", "n_grams", "copies"), "rep"), "ngram-members")
     blocks = members.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    members = members.join(blocks, "part").select("rep", "part", "copies", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int").alias("block"))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int").alias("block")
+    members = members.join(blocks, "part").select(F.col("first.doc_id").alias("of"), F.col("first.name").alias("of_name"), "rep", "part", "copies", "blocks", block)
+    texts = docs.select("doc_id", F.md5("text").alias("name"), "text")
     # the plan of large inputs at every size: members grow with the input and are never broadcast
-    texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(members.hint("merge"), "rep")
+    texts = texts.join(members.hint("merge"), texts["doc_id"].eqNullSafe(F.col("of")) & (F.col("name") == F.col("of_name")))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
             for part in slices(b, rows=64):
+                reps = part.column("rep").to_pylist()
+                new = [k for k, rep in enumerate(reps) if rep != (reps[k - 1] if k else last)]  # repeated rows lie together
+                last = reps[-1]
+                part = part.take(pa.array(new, pa.int64()))
                 sets = pa.array([s.tobytes() for s in gram_sets(part.column("text"), n)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("rep", "part", "copies", "blocks", "block")], sets], names=["rep", "part", "copies", "blocks", "block", "grams"])
 
-    sets = texts.select("rep", "part", "copies", "blocks", "block", "text").mapInArrow(grams, f"rep {kind}, part {kind}, copies long, blocks int, block int, grams binary")
+    sets = texts.select("rep", "part", "copies", "blocks", "block", "text").mapInArrow(grams, "rep long, part long, copies long, blocks int, block int, grams binary")
     grid = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
     sets = sets.withColumn("at", F.explode(grid)).select("part", "at.i", "at.j", "block", "rep", "copies", "grams")
 
@@ -285,23 +292,36 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
         rep = t.column("rep").combine_chunks()
         return pa.table({"rep": rep, "root": rep.take(pa.array(root)), "links": pa.array(links)})
 
-    found = written(sets.groupBy("part", "i", "j").applyInArrow(meet, f"rep {kind}, root {kind}, links long"), "ngram-links")
+    found = written(sets.groupBy("part", "i", "j").applyInArrow(meet, "rep long, root long, links long"), "ngram-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = connected(found.where("rep <> root"), "rep", "root").withColumnsRenamed({"id": "rep"})
-    heads = heads.join(links, "rep", "left").join(labels, "rep", "left").select("key", F.coalesce("label", "rep").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    ours = F.when(F.col("doc_id").isNotNull(), F.col("key"))
-    out = sig.select("doc_id", ours.alias("own"), "n_grams").join(heads, F.col("own") == heads["key"], "left")
-    return out.select("doc_id", F.coalesce("label", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_grams")
+    tops = labels.join(heads.select("rep", "first"), "rep").groupBy("label").agg(F.min("first").alias("top"))
+    heads = heads.join(links, "rep", "left").join(labels.join(tops, "label"), "rep", "left")
+    heads = heads.select("key", "first", F.coalesce("top", "first").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return sig, written(heads, "ngram-linked")
+
+
+def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
+    """doc_id, class_id (least doc_id of the linked documents), n_links (documents linked to it), n_grams, for every row."""
+    sig, heads = _linked(docs, n, threshold, recall, hashes)
+    out = sig.select("doc_id", "key", "n_grams").join(heads.withColumnsRenamed({"key": "of"}), F.col("key") == F.col("of"), "left")
+    class_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id"))
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_grams")
 
 
 def first_of_each(docs: DataFrame, **how: float) -> DataFrame:
-    """One document of each class, the one with the least doc_id; rows without doc_id all stay, columns as they came."""
-    mine = private(docs)("keep")
-    keep = jaccard_join(docs, **how).where("doc_id = class_id").select(F.col("doc_id").alias(mine)).distinct()
-    marked = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col(mine))
-    # rows that repeat a document are copies of it
-    one = marked.dropDuplicates(["doc_id"]).select(*map(named, docs.columns))
-    return one.union(docs.where("doc_id is null"))
+    """One document of each class, the first by doc_id, nulls last; rows without words all stay, columns as they came."""
+    mine = private(docs)
+    name, of, of_name = map(mine, ("name", "of", "of_name"))
+    _, heads = _linked(docs, **how)
+    keep = heads.where("first = top").select(F.col("top.doc_id").alias(of), F.col("top.name").alias(of_name))
+    words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    marked = docs.where(words).withColumn(name, F.md5("text"))
+    # rows that repeat a document are copies of it; of those without doc_id each task keeps one before the shuffle
+    known = marked.where("doc_id is not null").join(keep, (F.col("doc_id") == F.col(of)) & (F.col(name) == F.col(of_name))).dropDuplicates(["doc_id", name])
+    other = marked.where("doc_id is null").dropDuplicates([name]).join(keep.where(F.col(of).isNull()), F.col(name) == F.col(of_name))
+    kept = [d.select(*map(named, docs.columns)) for d in (known, other, docs.where(~words))]
+    return kept[0].union(kept[1]).union(kept[2])
 
 
 ORACLE = """

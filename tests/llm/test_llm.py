@@ -73,13 +73,27 @@ def test_pieces_as_tables(spark, odd):
 def test_ngram_join_odd(spark, odd):
     got = rows(ngram_join.jaccard_join(odd).toPandas())
     assert len(got) == len(ODD)
-    by = {(r.doc_id): (r.class_id, r.n_links) for r in ngram_join.jaccard_join(odd).collect()}
-    assert by[1] == (1, 2) and by[2] == (1, 2) and by[3] == (3, 0) and by[4] == (4, 0) and by[None] == (None, 0)
+    by = {(r.doc_id, r.n_grams > 0): (r.class_id, r.n_links) for r in ngram_join.jaccard_join(odd).collect()}
+    assert by[1, True] == (1, 3) and by[2, True] == (1, 3) and by[None, True] == (1, 3)
+    assert by[3, False] == (3, 0) and by[4, False] == (4, 0) and by[None, False] == (None, 0)
     left = ngram_join.first_of_each(odd)
-    assert left.columns == odd.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 1, 3, 4, 5, 6, 7, 8]
+    assert left.columns == odd.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 3, 4, 5, 6, 7, 8]
     assert ngram_join.jaccard_join(odd.where("false")).count() == 0
 
 
+def test_ngram_join_goes_by_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = a.replace("a59", "z")
+    # one doc_id on two texts, texts known only from rows without one, and many copies of such a text
+    docs = [(1, a), (1, b), (1, b), (2, near), (None, near), (None, b)] + [(None, c)] * 50 + [(None, c + " end"), (3, None), (None, ""), (None, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links, r.n_grams) for r in ngram_join.jaccard_join(d).collect())
+    want = [(1, 1, 2, 56), (1, 1, 2, 56), (1, 1, 2, 56), (2, 1, 2, 56), (0, 1, 2, 56), (0, 1, 2, 56)] + [(0, 0, 50, 56)] * 50 + [(0, 0, 50, 57), (3, 3, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+    assert got == sorted(want)
+    left = sorted((r.doc_id or 0, r.text or "") for r in ngram_join.first_of_each(d).collect())
+    assert left[:4] == [(0, ""), (0, ""), left[2], (1, a)] and left[2][1] in (c, c + " end") and left[4:] == [(1, b), (3, "")]
+
+
 def test_ngram_blocks(monkeypatch):
     r = np.random.default_rng(2)
     base = r.integers(0, 2**63, 100).astype(np.uint64)
