@@ -103,14 +103,18 @@ def draw_summary(draws: DataFrame, value: str, *by: str) -> DataFrame:
 def cluster_bootstrap(d: DataFrame, cluster: str, value: str, draws: int, seed: int = 0) -> DataFrame:
     """(draw, value): the mean over clusters drawn with replacement, from sums and counts of each cluster.
 
-    Rows are reduced to one a cluster first; draw i's k-th pick is a hash of (seed, i, k).
+    Rows are reduced to one a cluster first. A hash of (seed, draw, number of the eight) holds eight picks of a
+    draw, 32 bits each, scaled to the number of clusters; so draws are dealt over tasks and nothing is shuffled
+    but sums. Without clusters there are no draws.
     """
     g = d.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     g = g.withColumn("rank", F.row_number().over(Window.orderBy(cluster)) - 1)
-    total = g.agg(F.count("*").alias("k"))
-    spark = d.sparkSession
-    picks = spark.range(draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(total)).select("draw", "k", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("j"))
-    picks = picks.select("draw", F.floor(stable_key(F.concat_ws("|", "draw", "j"), seed) * F.col("k")).cast("int").alias("pick"))
+    total = g.agg(F.count("*").alias("k")).where("k > 0")
+    eights = d.sparkSession.range(draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(total))
+    eights = eights.select("draw", "k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("k") / 8).cast("int") - 1)).alias("eight"))
+    eights = eights.withColumn("digest", F.sha2(F.concat_ws("|", F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string")), "eight"), 256))
+    pick = lambda p: F.shiftright(F.conv(F.substr("digest", 8 * p + 1, F.lit(8)), 16, 10).cast("long") * F.col("k"), 32)
+    picks = eights.select("draw", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(8), F.col("k") - 8 * F.col("eight")).cast("int") - 1), pick)).alias("pick"))
     return picks.join(g, F.col("pick") == F.col("rank")).groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("value"))
 
 

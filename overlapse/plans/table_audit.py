@@ -191,26 +191,31 @@ def slope_affected(spark: SparkSession, d: str) -> DataFrame:
 O_SLOPE = f"WITH {P} SELECT seed, round(regr_slope(delta, affected::INT::DOUBLE), 7) AS affected_coef FROM p GROUP BY seed"
 
 
+#: Eight picks from each digest.
+PICKS = """h AS (SELECT draw, b, k, sha256('0:' || draw || '|' || b) AS digest FROM e8), h8 AS (SELECT draw, k, digest, unnest(range(0, least(8, k - 8 * b))) AS p FROM h),
+i AS (SELECT draw, (('0x' || substr(digest, 8 * p + 1, 8))::BIGINT * k) >> 32 AS pick FROM h8)"""
+
+
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """BS-01, BS-05: 200 draws of suppliers with replacement."""
-    b = effect.cluster_bootstrap(_paired(spark, d), "cluster", "delta", 200)
+    """BS-01, BS-05: 20,000 draws of suppliers with replacement."""
+    b = effect.cluster_bootstrap(_paired(spark, d), "cluster", "delta", 20_000)
     return rounded(effect.draw_summary(b, "value"), 7)
 
 
 O_CLUSTER = f"""WITH {P}, g AS (SELECT cluster, sum(delta) AS s, count(delta) AS n, row_number() OVER (ORDER BY cluster) - 1 AS r FROM p GROUP BY cluster),
-k AS (SELECT count(*) AS k FROM g), i AS (SELECT draw, unnest(range(1, k + 1)) AS j, k FROM k, (SELECT unnest(range(0, 200)) AS draw)),
-v AS (SELECT draw, sum(s) / sum(n) AS v FROM (SELECT draw, floor({HASH("draw || '|' || j")} * k)::BIGINT AS pick FROM i) JOIN g ON pick = r GROUP BY draw)
+k AS (SELECT count(*) AS k FROM g), e8 AS (SELECT draw, unnest(range(0, (k + 7) // 8)) AS b, k FROM k, (SELECT unnest(range(0, 20000)) AS draw)), {PICKS},
+v AS (SELECT draw, sum(s) / sum(n) AS v FROM i JOIN g ON pick = r GROUP BY draw)
 SELECT count(v) AS draws, round(avg(v), 7) AS mean, round(quantile_cont(v, 0.025), 7) AS low, round(quantile_cont(v, 0.975), 7) AS high, round(avg((v > 0)::INT::DOUBLE), 7) AS p_positive FROM v"""
 
 
 def seed_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """BS-02: 500 draws of seeds with replacement."""
-    return rounded(effect.draw_summary(effect.seed_bootstrap(effect.did(_paired(spark, d), "seed"), "seed", "did", 500), "value"), 7)
+    """BS-02: 2,000 draws of seeds with replacement."""
+    return rounded(effect.draw_summary(effect.seed_bootstrap(effect.did(_paired(spark, d), "seed"), "seed", "did", 2000), "value"), 7)
 
 
 O_SEED = f"""WITH {P}, e AS (SELECT seed, avg(delta) FILTER (NOT affected) - avg(delta) FILTER (affected) AS did FROM p GROUP BY seed), g AS (SELECT did, row_number() OVER (ORDER BY seed) - 1 AS r FROM e),
-k AS (SELECT count(*) AS k FROM g), i AS (SELECT draw, unnest(range(1, k + 1)) AS j, k FROM k, (SELECT unnest(range(0, 500)) AS draw)),
-v AS (SELECT draw, avg(did) AS v FROM (SELECT draw, floor({HASH("draw || '|' || j")} * k)::BIGINT AS pick FROM i) JOIN g ON pick = r GROUP BY draw)
+k AS (SELECT count(*) AS k FROM g), e8 AS (SELECT draw, unnest(range(0, (k + 7) // 8)) AS b, k FROM k, (SELECT unnest(range(0, 2000)) AS draw)), {PICKS},
+v AS (SELECT draw, avg(did) AS v FROM i JOIN g ON pick = r GROUP BY draw)
 SELECT count(v) AS draws, round(avg(v), 7) AS mean, round(quantile_cont(v, 0.025), 7) AS low, round(quantile_cont(v, 0.975), 7) AS high, round(avg((v > 0)::INT::DOUBLE), 7) AS p_positive FROM v"""
 
 

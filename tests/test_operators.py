@@ -261,3 +261,12 @@ def test_unpack(tmp_path):
         with pytest.raises(ValueError):
             writers.unpack(str(tmp_path / "a.tgz"), pin, str(tmp_path / "out2"))
     assert not (tmp_path / "out2").exists()
+
+
+def test_cluster_bootstrap_draws(spark):
+    d = spark.createDataFrame([(c, float(c), r) for c in range(11) for r in range(2)], "c int, v double, r int")
+    v = [r.value for r in effect.cluster_bootstrap(d, "c", "v", 4000).collect()]
+    mean = sum(v) / len(v)
+    # eleven picks of 0 to 10, each with variance 10
+    assert len(v) == 4000 and abs(mean - 5) < 0.06 and abs(sum((x - mean) ** 2 for x in v) / len(v) - 10 / 11) < 0.08
+    assert effect.cluster_bootstrap(d.where("false"), "c", "v", 10).count() == 0
