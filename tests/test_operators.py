@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from overlapse.functions import smiles
 from overlapse.functions.scalars import minhash, stable_key
 from overlapse.functions.text_keys import ROUTES, shingles, with_keys
-from overlapse.operators import detect, inject, pairs, report
+from overlapse.operators import detect, effect, inject, pairs, report
 from overlapse.plans import table_audit, text_audit
 from overlapse.sources import readers, writers
 
