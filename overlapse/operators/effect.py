@@ -100,22 +100,49 @@ def draw_summary(draws: DataFrame, value: str, *by: str) -> DataFrame:
     return draws.groupBy(*by).agg(F.count(v).alias("draws"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.025)).alias("low"), F.percentile(v, F.lit(0.975)).alias("high"), F.avg((v > 0).cast("double")).alias("p_positive"))
 
 
+#: Clusters that one task of a bootstrap holds; of more, each block of so many is summed on its own.
+BLOCK = 1 << 20
+
+
 def cluster_bootstrap(d: DataFrame, cluster: str, value: str, draws: int, seed: int = 0) -> DataFrame:
     """(draw, value): the mean over clusters drawn with replacement, from sums and counts of each cluster.
 
     Rows are reduced to one a cluster first. A hash of (seed, draw, number of the eight) holds eight picks of a
-    draw, 32 bits each, scaled to the number of clusters; so draws are dealt over tasks and nothing is shuffled
-    but sums. Without clusters there are no draws.
+    draw, 32 bits each, scaled to the number of clusters. The sums lie as arrays by rank, which every task gets
+    (16 bytes a cluster), and draws are dealt over tasks; picks are looked up there and never become rows.
+    Without clusters there are no draws.
     """
-    g = d.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    g = g.withColumn("rank", F.row_number().over(Window.orderBy(cluster)) - 1)
-    total = g.agg(F.count("*").alias("k")).where("k > 0")
-    eights = d.sparkSession.range(draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(total))
-    eights = eights.select("draw", "k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("k") / 8).cast("int") - 1)).alias("eight"))
-    eights = eights.withColumn("digest", F.sha2(F.concat_ws("|", F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string")), "eight"), 256))
-    pick = lambda p: F.shiftright(F.conv(F.substr("digest", 8 * p + 1, F.lit(8)), 16, 10).cast("long") * F.col("k"), 32)
-    picks = eights.select("draw", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(8), F.col("k") - 8 * F.col("eight")).cast("int") - 1), pick)).alias("pick"))
-    return picks.join(g, F.col("pick") == F.col("rank")).groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("value"))
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    g = d.groupBy(cluster).agg(F.sum(value).cast("double").alias("s"), F.count(value).alias("n"))
+    g = g.withColumn("rank", F.row_number().over(Window.orderBy(F.col(cluster).asc_nulls_last())) - 1).select("rank", F.coalesce("s", F.lit(0.0)).alias("s"), "n")
+    blocks = g.groupBy(F.floor(F.col("rank") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("rank", "s", "n"))).alias("x"))
+    blocks = blocks.select((F.col("block") * BLOCK).alias("low"), F.col("x.s").alias("s"), F.col("x.n").alias("n")).crossJoin(F.broadcast(g.agg(F.count("*").alias("k"))))
+    tasks = max(1, min(draws, 4 * d.sparkSession.sparkContext.defaultParallelism))
+    dealt = d.sparkSession.range(0, tasks, 1, tasks).select(F.col("id").alias("first")).crossJoin(F.broadcast(blocks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = hashlib.sha256
+        for batch in batches:
+            for row in range(batch.num_rows):
+                first, low, k = (batch.column(c)[row].as_py() for c in ("first", "low", "k"))
+                s, n = (batch.column(c)[row].values.to_numpy() for c in ("s", "n"))
+                eights = [b"|%d" % e for e in range(-(-k // 8))]
+                mine, sums, counts = range(first, draws, tasks), [], []
+                for draw in mine:
+                    head = f"{seed}:{draw}".encode()
+                    digests = np.frombuffer(b"".join([sha(head + e).digest() for e in eights]), ">u4")[:k]
+                    pick = (digests.astype(np.uint64) * np.uint64(k) >> np.uint64(32)).astype(np.int64) - low
+                    if k > len(s):
+                        pick = pick[(pick >= 0) & (pick < len(s))]
+                    sums.append(s[pick].sum())
+                    counts.append(n[pick].sum())
+                yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], ["draw", "s", "n"])
+
+    return dealt.mapInArrow(run, "draw long, s double, n long").groupBy("draw").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("value"))
 
 
 def seed_bootstrap(d: DataFrame, seed_col: str, value: str, draws: int, seed: int = 0) -> DataFrame:

@@ -270,3 +270,27 @@ def test_cluster_bootstrap_draws(spark):
     # eleven picks of 0 to 10, each with variance 10
     assert len(v) == 4000 and abs(mean - 5) < 0.06 and abs(sum((x - mean) ** 2 for x in v) / len(v) - 10 / 11) < 0.08
     assert effect.cluster_bootstrap(d.where("false"), "c", "v", 10).count() == 0
+
+
+def test_cluster_bootstrap_brute_force(spark, monkeypatch):
+    """Every draw, by blocks of clusters, with a null cluster (last, as in SQL) and a cluster without values; picks never meet clusters in a join."""
+    import hashlib
+
+    monkeypatch.setattr(effect, "BLOCK", 8)
+    rows = [(c, None if c == 3 else float(c * c + r)) for c in [*range(20), 50] for r in range(c % 3 + 1)]
+    d = spark.createDataFrame([(None if c == 50 else c, v) for c, v in rows], "c int, v double")
+    order = [*range(20), 50]
+    sums = [(sum(v for x, v in rows if x == c and v is not None), sum(1 for x, v in rows if x == c and v is not None)) for c in order]
+    k, want = len(order), {}
+    for draw in range(40):
+        digests = [hashlib.sha256(f"5:{draw}|{e}".encode()).digest() for e in range((k + 7) // 8)]
+        picks = [int.from_bytes(digests[i // 8][4 * (i % 8) : 4 * (i % 8) + 4], "big") * k >> 32 for i in range(k)]
+        want[draw] = sum(sums[p][0] for p in picks) / sum(sums[p][1] for p in picks)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = effect.cluster_bootstrap(d, "c", "v", 40, 5)
+        assert {r.draw: round(r.value, 9) for r in b.collect()} == {x: round(v, 9) for x, v in want.items()}
+        assert "SortMergeJoin" not in b._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r.value for r in effect.cluster_bootstrap(d.where("c = 3"), "c", "v", 3).collect()] == [None] * 3
