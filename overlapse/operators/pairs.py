@@ -21,20 +21,44 @@ def banded_negatives(d: DataFrame, id_: str, block: str, widths: dict[str, float
     """blocked_negatives with bands: rows meet only where every column of widths lies within its width.
 
     Each column is cut into buckets of its width; a row meets its own bucket and those beside it, so rows
-    meet by equality of block and buckets and never all pairs of a block.
+    meet by equality of block and buckets and never all pairs of a block. Every pair is hashed inside the join,
+    but leaves it only below a bound that about 16 + 8 * per of a row's candidates reach. A row with fewer than
+    `per` targets below its bound gets all its pairs in a second join, so the bound decides nothing.
     """
     from itertools import product
 
+    few = 16 + 8 * per
     cut = {c: F.floor(F.col(c) / w).cast("long") for c, w in widths.items()}
-    b = d.withColumns({f"__{c}": x for c, x in cut.items()})
-    steps = [F.struct(*[(cut[c] + i).alias(f"__{c}") for c, i in zip(widths, step, strict=True)]) for step in product((-1, 0, 1), repeat=len(widths))]
-    a = d.withColumn("__at", F.explode(F.array(*steps))).select("*", "__at.*").drop("__at")
-    on = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in (block, *[f"__{c}" for c in widths])]
-    near = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= w for c, w in widths.items()]
-    pairs = a.alias("a").join(b.alias("b"), [*on, *near, F.col(f"a.{id_}") != F.col(f"b.{id_}"), admissible])
-    pairs = pairs.select(F.col(f"a.{id_}").alias("query_id"), F.col(f"b.{id_}").alias("target_id"))
-    w = Window.partitionBy("query_id").orderBy(stable_key(F.concat_ws("|", "query_id", "target_id"), seed), "target_id")
-    return pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per).drop("n")
+    keys = [block, *[f"__{c}" for c in widths]]
+    shifts = list(product((-1, 0, 1), repeat=len(widths)))
+    beside = lambda at: F.explode(F.array(*[F.struct(*[(F.col(f"{at}{c}") + i).alias(f"__{c}") for c, i in zip(widths, step, strict=True)]) for step in shifts])).alias("__to")
+    b = d.withColumns({**{f"__{c}": x for c, x in cut.items()}, "__text": F.col(id_).cast("string")})
+
+    # candidates of each bucket, and the share of hashes that `few` of them reach, as a number and as the digits of a digest
+    met = b.groupBy(*keys).agg(F.count("*").alias("__n")).select(block, "__n", beside("__")).groupBy(block, *[F.col(f"__to.__{c}").alias(f"__{c}") for c in widths]).agg(F.sum("__n").alias("__n"))
+    sixty = F.least(F.lit(1.0), few / F.col("__n")) * float(1 << 60)
+    met = met.select(*keys, (F.floor(sixty) / float(1 << 60)).alias("__bound"), F.when(F.col("__n") <= few, "g").otherwise(F.lower(F.lpad(F.hex(F.floor(sixty)), 15, "0"))).alias("__digits"))
+    rows = b.join(met.hint("merge"), keys).withColumnsRenamed({f"__{c}": f"__at_{c}" for c in widths}).withColumn("__head", F.concat(F.lit(f"{seed}:"), F.col("__text"), F.lit("|")))
+
+    def meet(a: DataFrame, *more: Column) -> DataFrame:
+        a = a.select("*", beside("__at_")).select("*", "__to.*").drop("__to").alias("a")
+        near = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= w for c, w in widths.items()]
+        found = a.join(b.alias("b"), [*[F.col(f"a.{x}") == F.col(f"b.{x}") for x in keys], *near, F.col(f"a.{id_}") != F.col(f"b.{id_}"), admissible, *more])
+        found = found.select(F.col(f"a.{id_}").alias("query_id"), "a.__bound", F.col(f"b.{id_}").alias("target_id"))
+        return found.withColumn("key", stable_key(F.concat_ws("|", "query_id", "target_id"), seed))
+
+    low = meet(rows, F.sha2(F.concat("a.__head", "b.__text"), 256) < F.col("a.__digits")).select("query_id", "__bound", F.struct("key", "target_id").alias("x"))
+    none = rows.select(F.col(id_).alias("query_id"), "__bound", F.lit(None).cast(low.schema["x"].dataType).alias("x"))
+    # without null ids, both uses of it below have one plan, so Spark makes its exchange once
+    first = low.unionAll(none).where("query_id is not null").groupBy("query_id").agg(F.min("__bound").alias("__bound"), F.collect_list("x").alias("x"))
+    # a rounded hash that equals the bound may tie with one beyond it
+    sure = F.when(F.col("__bound") < 1, F.filter("x", lambda x: x["key"] < F.col("__bound"))).otherwise(F.col("x"))
+    first = first.withColumn("x", F.slice(F.array_sort(sure), 1, per)).withColumn("done", (F.col("__bound") >= 1) | (F.size("x") >= per))
+    ready = first.where("done").select("query_id", F.explode("x").alias("x")).select("query_id", "x.target_id")
+    left = first.where("not done").select(F.col("query_id").alias(id_))
+    w = Window.partitionBy("query_id").orderBy("key", "target_id")
+    rest = meet(rows.join(left, id_, "left_semi")).withColumn("n", F.row_number().over(w)).where(F.col("n") <= per)
+    return ready.unionAll(rest.select("query_id", "target_id"))
 
 
 def adjacent_pairs(d: DataFrame, group: str, order: list[str], id_: str, signature: str | None = None) -> DataFrame:

@@ -294,3 +294,34 @@ def test_cluster_bootstrap_brute_force(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert [r.value for r in effect.cluster_bootstrap(d.where("c = 3"), "c", "v", 3).collect()] == [None] * 3
+
+
+def _join_rows(node):
+    """Rows that the joins of an executed plan gave out, without joins of one exchange counted twice."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _join_rows(node.executedPlan())
+    if "QueryStage" in name:
+        return _join_rows(node.plan())
+    kids = node.children()
+    own = node.metrics().apply("numOutputRows").value() if "Join" in name else 0
+    return own + sum(_join_rows(kids.apply(i)) for i in range(kids.size()))
+
+
+def test_banded_negatives_large_bucket(spark):
+    """Few pairs of a large bucket leave the join; rows that find too little below their bound still get their targets."""
+    import hashlib
+
+    # 600 rows in reach of each other; those of kind "rare" may only meet two others
+    data = [(i, "b", 100.0 + i % 30, "rare" if i % 40 == 0 else "usual") for i in range(600)] + [(None, "b", 101.0, "usual"), (700, None, 101.0, "usual"), (701, "b", None, "usual"), (702, "b", 190.0, "usual")]
+    d = spark.createDataFrame(data, "id long, block string, price double, kind string")
+    ok = (F.col("a.kind") == "usual") | F.col("b.id").isin(5, 6)
+    key = lambda a, b: (int(hashlib.sha256(f"3:{a}|{b}".encode()).hexdigest()[:16], 16) / 2.0**64, b)
+    for per in (1, 3):
+        out = pairs.banded_negatives(d, "id", "block", {"price": 20.0}, ok, 3, per)
+        want = []
+        for a, _, p, kind in data[:600]:
+            near = [b for b, _, q, _ in data[:600] if b != a and abs(p - q) <= 20 and (kind == "usual" or b in (5, 6))]
+            want += [(a, b) for b in sorted(near, key=lambda b: key(a, b))[:per]]
+        assert sorted(map(tuple, out.collect())) == sorted(want)
+        assert _join_rows(out._jdf.queryExecution().executedPlan()) < 600 * 600 / 4
